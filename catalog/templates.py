@@ -69,16 +69,23 @@ def match_templates(spark, sf):
     return out.select("line_id", "template_id", F.round("sim", 6).alias("sim"))
 
 
+# the last word becomes the wildcard
+_OPEN_END = "list_transform(tokens, lambda x, i: case when i > 1 and i = length(tokens) then '<*>' else x end)"
+_ENDED = f"""templates as (
+  select b tokens, min(line_id) template_id, {SQL_REGEX.format('b')} regex
+  from (select *, {_OPEN_END} b from tokens where split = 'train') group by b)"""
+
+
 @query(
     "feedback_lookup",
-    f"""with {I.TOKENS}, {_TEMPLATES},
+    f"""with {I.TOKENS}, {_ENDED},
     stored as (select array_to_string(tokens, ' ') template, min(line_id) seq, arg_max(label, line_id) score
       from tokens where split = 'test' group by tokens),
     asked as (select template_id, array_to_string(tokens, ' ') template, regex,
       split_part(array_to_string(tokens, ' '), '<*>', 1) prefix from templates),
     one as (select template_id, score from asked join stored using (template)),
     two as (select a.template_id, arg_max(s.score, s.seq) score from asked a join stored s
-      on starts_with(s.template, a.prefix) and regexp_matches(s.template, a.regex)
+      on case when starts_with(s.template, a.prefix) then regexp_matches(s.template, a.regex) else false end
       where a.template_id not in (select template_id from one) group by a.template_id)
     select template_id, coalesce(one.score, two.score) score,
       case when one.score is not null then 1 when two.score is not null then 2 end as level
@@ -89,8 +96,14 @@ def feedback(spark, sf):
     stored = tokens.filter("split = 'test'").select(
         F.array_join("tokens", " ").alias("template"), F.col("label").alias("score"), F.col("line_id").alias("seq")
     )
-    # one template per distinct token list and language, as above
-    return feedback_lookup(_templates(tokens), stored)
+    ended = F.transform(
+        "tokens", lambda x, i: F.when((i > 0) & (i == F.size("tokens") - 1), WILDCARD).otherwise(x)
+    )
+    templates = (
+        tokens.filter("split = 'train'").groupBy(ended.alias("tokens"))
+        .agg(F.min("line_id").alias("template_id"))
+    )
+    return feedback_lookup(templates, stored)
 
 
 @query(

@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.patterns import WILDCARD
-from ..functions.text import template_to_regex, token_jaccard, tokenize_line
+from ..functions.text import (
+    matches_pieces, template_pieces, template_to_regex, token_jaccard, tokenize_line,
+)
 from ..session import materialize
 from .grouping import group_key, prefix_path, vocab_counts
 from .positions import dense_position, id_cells
@@ -26,8 +28,7 @@ MAX_CHUNK = 1 << 18
 # ---------------------------------------------------------------- matching (native)
 
 def _similarity(text: Column, tokens: Column, template: Column) -> Column:
-    hit = F.rlike(text, F.concat(F.lit("(?d)"), template["regex"]))
-    return F.when(hit, F.lit(1.0)).otherwise(
+    return F.when(matches_pieces(text, template["pieces"]), F.lit(1.0)).otherwise(
         F.coalesce(token_jaccard(template["tokens"], tokens), F.lit(0.0))
     )
 
@@ -56,7 +57,7 @@ def best_template(
     common tokens; ties go to the later template.  A line meets its leaf's templates as arrays,
     so no (line, template) rows are produced.
     """
-    value = F.struct("template_id", "created_seq", "tokens", "regex")
+    value = F.struct("template_id", "created_seq", "tokens", template_pieces("tokens").alias("pieces"))
     blocks = _template_blocks(templates, leaf, value)
     text = F.array_join(F.col(tokens), " ")
     best = F.array_max(
@@ -91,6 +92,27 @@ def match_templates(
 
 # ---------------------------------------------------------------- leaf clustering
 
+def _pieces(text: str) -> list[str]:
+    return re.sub(r"(?:<\*>\s?){2,}", WILDCARD, text).split(WILDCARD)
+
+
+def _fits(text: str, pieces: list[str]) -> bool:
+    """``matches_pieces`` for one text."""
+    if len(pieces) == 1:
+        return text == pieces[0]
+    first, last = pieces[0], pieces[-1]
+    end = len(text) - len(last)
+    if end < len(first) or not text.startswith(first) or not text.endswith(last):
+        return False
+    at = len(first)
+    for piece in pieces[1:-1]:
+        at = text.find(piece, at, end)
+        if at < 0:
+            return False
+        at += len(piece)
+    return True
+
+
 class _Leaf:
     """Templates of one leaf while its lines pass by in order."""
 
@@ -99,29 +121,28 @@ class _Leaf:
         self.ids: list[int] = []
         self.tokens: list[list[str]] = []
         self.sets: list[frozenset] = []
-        self.patterns: list[re.Pattern] = []
+        self.pieces: list[list[str]] = []
         self.seen: dict[str, int] = {}
 
     def put(self, template_id: int, tokens: list[str]) -> int:
         self.ids.append(template_id)
         self.tokens.append([])
         self.sets.append(frozenset())
-        self.patterns.append(None)
+        self.pieces.append([])
         self._set(len(self.ids) - 1, tokens)
         return len(self.ids) - 1
 
     def _set(self, slot: int, tokens: list[str]) -> None:
         self.tokens[slot] = tokens
         self.sets[slot] = frozenset(tokens)
-        pieces = re.sub(r"(?:<\*>\s?){2,}", WILDCARD, " ".join(tokens)).split(WILDCARD)
-        self.patterns[slot] = re.compile("(.*?)".join(re.escape(p) for p in pieces))
+        self.pieces[slot] = _pieces(" ".join(tokens))
         # the answer for a text seen before may be another one now
         self.seen.clear()
 
     def _nearest(self, text: str, words: frozenset) -> int | None:
         best, best_sim = None, self.st
         for slot in range(len(self.ids) - 1, -1, -1):
-            if self.patterns[slot].fullmatch(text):
+            if _fits(text, self.pieces[slot]):
                 return slot
             union = len(self.sets[slot] | words)
             sim = len(self.sets[slot] & words) / union if union else 0.0
@@ -331,9 +352,9 @@ def _test_rest(rest: DataFrame, reached: DataFrame, st: float) -> DataFrame:
     )
     known = reached.withColumn("tokens", _split_text("template")).select(
         "leaf", "template_id", "template", "tokens",
-        template_to_regex("tokens").alias("regex"), F.col("template_id").alias("created_seq"),
+        template_pieces("tokens").alias("pieces"), F.col("template_id").alias("created_seq"),
     )
-    value = F.struct("template_id", "created_seq", "tokens", "regex", "template")
+    value = F.struct("template_id", "created_seq", "tokens", "pieces", "template")
     blocks = _template_blocks(known, ["leaf"], value)
     picked = F.array_max(
         F.transform(
@@ -496,14 +517,12 @@ def _claim_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     group, leaders = None, []
     for batch in batches:
         out = []
-        for key, pos, tid, text, regex in zip(
-            batch["group_key"], batch["pos"], batch["template_id"], batch["text"], batch["regex"]
-        ):
+        for key, tid, text in zip(batch["group_key"], batch["template_id"], batch["text"]):
             if key != group:
                 group, leaders = key, []
-            owner = next((i for i, p in leaders if p.search(text)), None)
+            owner = next((i for i, p in leaders if _fits(text, p)), None)
             if owner is None:
-                leaders.append((tid, re.compile(regex)))
+                leaders.append((tid, _pieces(text)))
                 owner = tid
             out.append((key, tid, owner))
         yield pd.DataFrame(out, columns=["group_key", "template_id", "claimant_id"])
@@ -521,7 +540,7 @@ def subsume_templates(templates: DataFrame, chunk: int = FIRST_CHUNK) -> DataFra
     base = templates.select(
         "template_id", "group_key",
         F.array_join("tokens", " ").alias("text"),
-        template_to_regex("tokens").alias("regex"),
+        template_pieces("tokens").alias("pieces"),
         F.struct((-wild).alias("w"), (-F.size("tokens")).alias("l")).alias("rank"),
     )
     _, fine = id_cells("template_id")
@@ -543,10 +562,8 @@ def subsume_templates(templates: DataFrame, chunk: int = FIRST_CHUNK) -> DataFra
         leaders = (
             waiting.join(settled.filter("template_id = claimant_id").select("template_id"), "template_id", "left_semi")
         )
-        blocks = _template_blocks(leaders, ["group_key"], F.struct("pos", "template_id", "regex"))
-        hits = F.filter(
-            "_templates", lambda t: F.rlike(F.col("text"), F.concat(F.lit("(?d)"), t["regex"]))
-        )
+        blocks = _template_blocks(leaders, ["group_key"], F.struct("pos", "template_id", "pieces"))
+        hits = F.filter("_templates", lambda t: matches_pieces("text", t["pieces"]))
         first = F.array_min(F.transform(hits, lambda t: F.struct(t["pos"].alias("p"), t["template_id"].alias("c"))))
         claimed = materialize(
             later.join(blocks, "group_key")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.patterns import WILDCARD
-from ..functions.text import join_tokens, template_to_regex
+from ..functions.text import join_tokens, matches_pieces, template_pieces, template_to_regex
+from ..session import materialize
 
 _VERDICT = "struct<prediction:string,analysis:string>"
 
@@ -95,7 +96,8 @@ def feedback_lookup(
         F.min("seq").alias("seq"), F.max_by("score", "seq").alias("score")
     )
     base = templates.select(template_id, tokens, join_tokens(tokens).alias("template"))
-    direct = base.join(stored, "template", "left")
+    stored = materialize(stored, "stored")
+    direct = materialize(base.join(stored, "template", "left"), "direct")
     found = direct.filter(F.col("seq").isNotNull()).select(
         template_id, "score", F.lit(1).alias("level")
     )
@@ -111,6 +113,7 @@ def feedback_lookup(
     patterns = missed.select(
         template_id,
         template_to_regex(tokens).alias("regex"),
+        template_pieces(tokens).alias("pieces"),
         _anchor(F.col(tokens)).alias("word"),
         F.get(F.filter(tokens, lambda x: x != WILDCARD), F.lit(0)).alias("literal"),
     )
@@ -128,10 +131,14 @@ def feedback_lookup(
             "tail",
         )
     )
-    cols = [template_id, "regex", "template", "seq", "score"]
+    cols = [template_id, "regex", "pieces", "template", "seq", "score"]
+    # a wildcard does not reach over a line break, so text with one takes the pattern itself
+    hit = F.when(
+        F.col("template").contains("\n"), F.expr("template rlike concat('(?d)', regex)")
+    ).otherwise(matches_pieces("template", F.col("pieces")))
     matches = (
         anchored.select(*cols).unionByName(tailed.select(*cols))
-        .filter(F.expr("template rlike concat('(?d)', regex)"))
+        .filter(hit)
         .groupBy(template_id).agg(F.max_by("score", "seq").alias("score"))
     )
     # a pattern of wildcards alone matches every stored line
