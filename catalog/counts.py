@@ -10,6 +10,7 @@ from timberline.operators import grouping as G
 from timberline.operators import metrics as M
 from timberline.operators.windows import fixed_count_windows, time_window_summary
 from timberline.plans.detector import detect_tokens, fit_token_model
+from timberline.session import materialize
 
 from . import inputs as I
 from .registry import query
@@ -19,8 +20,7 @@ def _docs(spark, sf, split=None):
     lines = I.split_lines(spark, sf) if split else I.lines(spark, sf)
     if split:
         lines = lines.filter(F.col("split") == split)
-    return lines.select("line_id", "session_id", "label", "level", "content", "event_template",
-                        tokenize_line("content").alias("tokens"))
+    return materialize(lines.select("line_id", "label", "level", tokenize_line("content").alias("tokens")), "docs")
 
 
 VOCAB = f"""vocab as (select token, count(*) n from
@@ -115,8 +115,10 @@ _TEST = "test as (select line_id, label, tokens from tokens where split = 'test'
 
 @query("nb_score", f"with {I.TOKENS}, {FIT}, {_TEST}, {sql_score('test')} select {SCORE_COLS} from scored")
 def nb_score(spark, sf):
-    model = B.nb_fit(_docs(spark, sf, "train"))
-    test = _docs(spark, sf, "test")
+    lines = I.split_lines(spark, sf).select("line_id", "label", "split", tokenize_line("content").alias("tokens"))
+    docs = materialize(lines, "docs")
+    model = B.nb_fit(docs.filter("split = 'train'"))
+    test = docs.filter("split = 'test'")
     return scored_columns(test.select("line_id", "label").join(B.nb_score(test, model), "line_id"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from timberline.functions.patterns import LEADING_SPACE, NON_WORD_RUN
 from timberline.functions.stopwords import DEFAULT_STOP_WORDS
 from timberline.operators.positions import chronological_split
+from timberline.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per text line of a document, labelled by its document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     toxic = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return (
         docs.join(toxic, "doc_id", "left")
@@ -76,7 +77,7 @@ tokens as materialized (select *, {sql_tokens('content')} tokens from split_line
 # ---------------------------------------------------------------- timed event lines
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"), "event_id")
     return e.select(
         (F.col("event_id") + 1).alias("line_id"),
         F.col("user_id").alias("session_id"),
@@ -151,7 +152,7 @@ verdicts as (
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supercomputer-shaped text lines."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"), "event_id")
     return e.select(
         (F.col("event_id") + 1).alias("line_id"),
         F.concat_ws(
@@ -188,7 +189,7 @@ parsed as (
 
 def raw_lines_pid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster-shaped text lines: half with a process id, some that do not parse."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"), "event_id")
     line = F.concat(
         F.lit("- 1 d u m 1 t loc app"),
         F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]:")))

@@ -21,7 +21,10 @@ _BLANKED = "list_transform(tokens, lambda x, i: case when i > 1 and length(x) <
 
 def _tokens(spark, sf):
     lines = I.split_lines(spark, sf)
-    return lines.withColumn("tokens", tokenize_line("content"))
+    return materialize(
+        lines.select("session_id", "line_id", "label", "level", "split", tokenize_line("content").alias("tokens")),
+        "tokens",
+    )
 
 
 def _blanked(tokens):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -114,7 +115,12 @@ def _fits(text: str, pieces: list[str]) -> bool:
 
 
 class _Leaf:
-    """Templates of one leaf while its lines pass by in order."""
+    """Templates of one leaf while its lines pass by in order.
+
+    Two indexes keep a line from meeting every template of a wide leaf: templates by one word
+    their pattern needs, and templates by token.  A similarity of ``st`` takes at least
+    ``st * |words|`` common tokens, so the rarest of the line's tokens suffice to find them.
+    """
 
     def __init__(self, st: float):
         self.st = st
@@ -122,35 +128,59 @@ class _Leaf:
         self.tokens: list[list[str]] = []
         self.sets: list[frozenset] = []
         self.pieces: list[list[str]] = []
+        self.anchors: list[str | None] = []
+        self.by_anchor: dict[str | None, set[int]] = {}
+        self.by_token: dict[str, set[int]] = {}
         self.seen: dict[str, int] = {}
 
     def put(self, template_id: int, tokens: list[str]) -> int:
+        slot = len(self.ids)
         self.ids.append(template_id)
         self.tokens.append([])
         self.sets.append(frozenset())
         self.pieces.append([])
-        self._set(len(self.ids) - 1, tokens)
-        return len(self.ids) - 1
+        self.anchors.append(None)
+        self._set(slot, tokens)
+        return slot
 
     def _set(self, slot: int, tokens: list[str]) -> None:
-        self.tokens[slot] = tokens
-        self.sets[slot] = frozenset(tokens)
+        old, new = self.sets[slot], frozenset(tokens)
+        for t in old - new:
+            self.by_token[t].discard(slot)
+        for t in new - old:
+            self.by_token.setdefault(t, set()).add(slot)
+        self.by_anchor.get(self.anchors[slot], set()).discard(slot)
+        # after two wildcards in a row a literal may be the end of a word only
+        whole = [
+            t for i, t in enumerate(tokens)
+            if t != WILDCARD and not (i > 1 and tokens[i - 1] == WILDCARD == tokens[i - 2])
+        ]
+        self.anchors[slot] = min(whole, key=lambda t: len(self.by_token[t]), default=None)
+        self.by_anchor.setdefault(self.anchors[slot], set()).add(slot)
+        self.tokens[slot], self.sets[slot] = tokens, new
         self.pieces[slot] = _pieces(" ".join(tokens))
         # the answer for a text seen before may be another one now
         self.seen.clear()
 
     def _nearest(self, text: str, words: frozenset) -> int | None:
-        best, best_sim = None, self.st
-        for slot in range(len(self.ids) - 1, -1, -1):
-            if _fits(text, self.pieces[slot]):
-                return slot
-            union = len(self.sets[slot] | words)
-            sim = len(self.sets[slot] & words) / union if union else 0.0
-            if sim > best_sim or (sim == best_sim and best is None):
-                best, best_sim = slot, sim
-            if best is not None and best_sim >= 1.0:
-                break
-        return best
+        best = (-1.0, -1)
+        for anchor in (None, *words):
+            for slot in self.by_anchor.get(anchor, ()):
+                if _fits(text, self.pieces[slot]):
+                    best = max(best, (1.0, slot))
+        if self.st > 0:
+            need = max(1, math.ceil(self.st * len(words) - 1e-9))
+            rare = sorted(words, key=lambda t: len(self.by_token.get(t, ())))
+            near = set().union(*(self.by_token.get(t, ()) for t in rare[: len(words) - need + 1]))
+        else:
+            near = range(len(self.ids))
+        for slot in near:
+            other = self.sets[slot]
+            common = len(other & words)
+            union = len(other) + len(words) - common
+            if union:
+                best = max(best, (common / union, slot))
+        return best[1] if best[0] >= self.st else None
 
     def add(self, line_id: int, text: str) -> int:
         slot = self.seen.get(text)
@@ -416,11 +446,14 @@ def mine_templates(
     With ``base`` the lines follow those mined before: vocabulary, branches and templates go on
     from there.  Their ids must then be above all earlier ones.
     """
-    rows = lines.select(
-        F.col(line_id).cast("long").alias("line_id"),
-        F.col(label).alias("label"),
-        *[h for h in heads if h in lines.columns],
-        tokenize_line(content, patterns).alias("tokens"),
+    rows = materialize(
+        lines.select(
+            F.col(line_id).cast("long").alias("line_id"),
+            F.col(label).alias("label"),
+            *[h for h in heads if h in lines.columns],
+            tokenize_line(content, patterns).alias("tokens"),
+        ),
+        "tokens",
     )
     keyed = materialize(
         group_key(rows, k, heads, vocab, base_vocab=base.vocab if base else None)

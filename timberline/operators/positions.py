@@ -101,15 +101,20 @@ def running_count(
     before = (
         Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = cells.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    # the sum before a cell enters the cell's window as a leading row, which saves a join
+    leading = cells.select(
+        *keys, "_cell", F.lit(None).cast(df.schema[order].dataType).alias(order),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias(value),
+    )
     inside = (
-        Window.partitionBy(*keys, "_cell").orderBy(order)
+        Window.partitionBy(*keys, "_cell").orderBy(F.asc_nulls_first(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    rows = df.withColumn("_cell", cell_of(order, span))
     return (
-        df.withColumn("_cell", cell_of(order, span))
-        .join(offsets, [*keys, "_cell"])
-        .withColumn(out, F.col("_before") + F.sum(value).over(inside))
+        rows.unionByName(leading, allowMissingColumns=True)
+        .withColumn(out, F.sum(value).over(inside))
+        .filter(F.col(order).isNotNull())
         .select(*df.columns, out)
     )
 

@@ -185,7 +185,7 @@ def detect_lines(
 def fit_token_model(lines: DataFrame, n: int = 1, patterns: Sequence[str] = ()) -> NgramCounts:
     """Counts on the lines' own tokens, without template mining."""
     docs = lines.select("line_id", "label", tokenize_line("content", patterns).alias("tokens"))
-    return nb_fit(docs, n)
+    return nb_fit(materialize(docs, "docs"), n)
 
 
 def detect_tokens(
@@ -199,6 +199,8 @@ def detect_tokens(
     """Predictions on the lines' own tokens, without template mining."""
     if dedupe:
         lines = first_occurrence(lines, template)
-    docs = lines.select("line_id", "label", tokenize_line("content", patterns).alias("tokens"))
+    docs = materialize(
+        lines.select("line_id", "label", tokenize_line("content", patterns).alias("tokens")), "docs"
+    )
     scored = nb_score(docs, model, emphasize)
     return docs.select("line_id", "label").join(scored, "line_id")
