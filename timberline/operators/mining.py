@@ -45,37 +45,62 @@ def _template_blocks(templates: DataFrame, leaf: Sequence[str], value: Column) -
     )
 
 
-def best_template(
-    lines: DataFrame,
-    templates: DataFrame,
-    line_id: str = "line_id",
-    tokens: str = "tokens",
-    leaf: Sequence[str] = ("group_key", "path"),
-) -> DataFrame:
-    """``(line_id, sim, template_id)`` of the most similar template in the line's leaf.
+def _by_rarity(tokens: Column) -> Column:
+    """Distinct tokens in one fixed order that tends to put rare ones first, the wildcard last."""
+    rank = lambda x: F.when(x == WILDCARD, F.lit(1)).otherwise(-F.length(x))
+    ordered = F.array_sort(
+        F.transform(F.array_distinct(tokens), lambda x: F.struct(rank(x).alias("r"), x.alias("t")))
+    )
+    return F.transform(ordered, lambda s: s["t"])
 
-    Similarity is 1 if the template's pattern matches the joined tokens, else the share of
-    common tokens; ties go to the later template.  A line meets its leaf's templates as arrays,
-    so no (line, template) rows are produced.
+
+def _prefix(ordered: Column, st: float) -> Column:
+    """Tokens of which two lists of similarity ``st`` must have one in common."""
+    size = F.size(ordered)
+    return F.slice(ordered, 1, size - F.greatest(F.lit(1), F.ceil(size * st - 1e-9)).cast("int") + 1)
+
+
+def _whole_words(tokens: Column) -> Column:
+    """Literals that any text the pattern matches holds as whole words.
+
+    After two wildcards in a row the blank is swallowed, so a literal may be the end of a word.
     """
-    value = F.struct("template_id", "created_seq", "tokens", template_pieces("tokens").alias("pieces"))
-    blocks = _template_blocks(templates, leaf, value)
-    text = F.array_join(F.col(tokens), " ")
-    best = F.array_max(
-        F.transform(
-            "_templates",
-            lambda t: F.struct(
-                _similarity(text, F.col(tokens), t).alias("sim"),
-                t["created_seq"].alias("created_seq"),
-                t["template_id"].alias("template_id"),
-            ),
-        )
+    return F.filter(
+        tokens,
+        lambda x, i: (x != WILDCARD)
+        & ~((i > 1) & (F.get(tokens, i - 1) == WILDCARD) & (F.get(tokens, i - 2) == WILDCARD)),
+    )
+
+
+def _candidate_pairs(lines: DataFrame, templates: DataFrame, st: float) -> DataFrame:
+    """Distinct ``(line_id, template_id)`` that can be similar; ``leaf`` is a hash of the leaf.
+
+    Key "p": one of the prefix tokens is shared.  Key "w": the line holds a word the template's
+    pattern needs.  Key "a": patterns without such a word meet all lines of their leaf.
+    """
+    def keys(kind: str, token: Column) -> Column:
+        return F.transform(token, lambda x: F.struct(F.lit(kind).alias("k"), x.alias("t")))
+
+    ordered = _by_rarity(F.col("tokens"))
+    any_line = F.array(F.lit(""))
+    line_keys = lines.select(
+        "leaf", "line_id",
+        F.explode(F.concat(
+            keys("p", _prefix(ordered, st)), keys("w", ordered), keys("a", any_line)
+        )).alias("key"),
     )
-    scored = lines.select(line_id, *leaf, tokens).join(blocks, list(leaf)).select(
-        line_id, best.alias("_best")
+    word = F.slice(_by_rarity(_whole_words(F.col("tokens"))), 1, 1)
+    template_keys = templates.select(
+        "leaf", "template_id",
+        F.explode(F.concat(
+            keys("p", _prefix(ordered, st)), keys("w", word),
+            F.when(F.size(word) == 0, keys("a", any_line)).otherwise(keys("a", F.slice(any_line, 1, 0))),
+        )).alias("key"),
     )
-    return scored.groupBy(line_id).agg(F.max("_best").alias("_best")).select(
-        line_id, F.col("_best.sim").alias("sim"), F.col("_best.template_id").alias("template_id")
+    return (
+        line_keys.select("leaf", "line_id", "key.k", "key.t")
+        .join(template_keys.select("leaf", "template_id", "key.k", "key.t"), ["leaf", "k", "t"])
+        .select("line_id", "template_id").distinct()
     )
 
 
@@ -87,8 +112,42 @@ def match_templates(
     tokens: str = "tokens",
     leaf: Sequence[str] = ("group_key", "path"),
 ) -> DataFrame:
-    """Best template per line inside its leaf, kept when the similarity reaches ``st``."""
-    return best_template(lines, templates, line_id, tokens, leaf).filter(F.col("sim") >= st)
+    """``(line_id, sim, template_id)``: the most similar template of the line's leaf, from ``st`` up.
+
+    Similarity is 1 if the template's pattern matches the joined tokens, else the share of
+    common tokens; ties go to the later template.  Lines and templates meet on words they must
+    share to be that similar, so a wide leaf does not compare everything with everything.
+    """
+    if st <= 0:
+        raise ValueError("st must be positive")
+    ours = lines.select(
+        F.col(line_id).alias("line_id"), F.struct(*leaf).alias("_home"),
+        F.xxhash64(*leaf).alias("leaf"), F.col(tokens).alias("tokens"),
+    )
+    known = templates.select(
+        "template_id", "created_seq", F.struct(*leaf).alias("_home"),
+        F.xxhash64(*leaf).alias("leaf"), "tokens",
+    )
+    pairs = _candidate_pairs(ours, known, st)
+    theirs = F.struct("tokens", template_pieces("tokens").alias("pieces"))
+    sim = _similarity(F.array_join("tokens", " "), F.col("tokens"), F.col("_t"))
+    return (
+        pairs.join(ours.drop("leaf"), "line_id")
+        .join(
+            known.select(
+                "template_id", "created_seq", F.col("_home").alias("_other"), theirs.alias("_t")
+            ),
+            "template_id",
+        )
+        .filter(F.col("_home") == F.col("_other"))
+        .select("line_id", F.struct(sim.alias("sim"), "created_seq", "template_id").alias("_best"))
+        .groupBy("line_id").agg(F.max("_best").alias("_best"))
+        .select(
+            F.col("line_id").alias(line_id), F.col("_best.sim").alias("sim"),
+            F.col("_best.template_id").alias("template_id"),
+        )
+        .filter(F.col("sim") >= st)
+    )
 
 
 # ---------------------------------------------------------------- leaf clustering
@@ -377,40 +436,27 @@ def cluster_leaves(
 
 def _test_rest(rest: DataFrame, reached: DataFrame, st: float) -> DataFrame:
     """Per distinct remaining sequence: its template and whether it would change the leaf."""
-    distinct = rest.groupBy("leaf", "text").agg(F.min("pos").alias("first_pos")).withColumn(
-        "tokens", _split_text("text")
-    )
-    known = reached.withColumn("tokens", _split_text("template")).select(
-        "leaf", "template_id", "template", "tokens",
-        template_pieces("tokens").alias("pieces"), F.col("template_id").alias("created_seq"),
-    )
-    value = F.struct("template_id", "created_seq", "tokens", "pieces", "template")
-    blocks = _template_blocks(known, ["leaf"], value)
-    picked = F.array_max(
-        F.transform(
-            "_templates",
-            lambda t: F.struct(
-                _similarity(F.col("text"), F.col("tokens"), t).alias("sim"),
-                t["created_seq"].alias("created_seq"),
-                t["template_id"].alias("template_id"),
-                t["template"].alias("template"),
-            ),
-        )
+    distinct = materialize(
+        rest.groupBy("leaf", "text").agg(
+            F.min("pos").alias("first_pos"), F.min("line_id").alias("line_id")
+        ).withColumn("tokens", _split_text("text")),
+        "rest",
     )
-    best = (
-        distinct.join(blocks, "leaf")
-        .select("leaf", "text", "first_pos", picked.alias("_best"))
-        .groupBy("leaf", "text", "first_pos").agg(F.max("_best").alias("_best"))
+    known = reached.withColumn("tokens", _split_text("template")).withColumn(
+        "created_seq", F.col("template_id")
     )
-    own, kept = _split_text("text"), _split_text("_best.template")
+    best = match_templates(distinct, known, st, leaf=["leaf"]).select("line_id", "template_id")
+    own, kept = F.col("tokens"), _split_text("template")
     same = (F.size(own) <= F.size(kept)) & F.forall(
         kept, lambda t: (t == WILDCARD) | F.array_contains(own, t)
     )
-    return best.select(
-        "leaf", "text", "first_pos",
-        F.col("_best.template_id").alias("template_id"),
-        F.col("_best.template").alias("template"),
-        ((F.col("_best.sim") < st) | ~same).alias("changes"),
+    return (
+        distinct.join(best, "line_id", "left")
+        .join(reached.select("template_id", "template"), "template_id", "left")
+        .select(
+            "leaf", "text", "first_pos", "template_id", "template",
+            (F.col("template_id").isNull() | ~same).alias("changes"),
+        )
     )
 
 
