@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from timberline.functions.text import derive_label, to_event_time
 from timberline.operators.bayes import NgramCounts
 from timberline.operators.positions import assign_line_id
 from timberline.operators.metrics import binary_metrics

@@ -2,7 +2,6 @@ import json
 from datetime import datetime, timedelta, timezone
 
 import pytest
-from pyspark.sql import functions as F
 
 from timberline.functions.text import tokenize_line
 from timberline.operators.bayes import nb_fit, nb_score
@@ -88,7 +87,7 @@ def test_results_are_appended(spark, tmp_path):
 
 
 def test_report_quotes_every_field(spark, tmp_path):
-    df = spark.createDataFrame([(1, 'say "hi", now')], "id int, text string")
+    df = spark.createDataFrame([(1, 'say "hi", now')], "id int, text string").coalesce(1)
     S.write_report_csv(df, str(tmp_path / "r"))
     text = next((tmp_path / "r").glob("*.csv")).read_text()
     assert text.splitlines() == ['"id","text"', '"1","say ""hi"", now"']

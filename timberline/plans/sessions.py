@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from ..operators.metrics import binary_metrics, session_rollup
 from ..operators.verdicts import distinct_queries, pending_queries, verdict_join, verdict_report
