@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from timberline.plans.detector import fit_token_model
@@ -15,11 +13,15 @@ from .counts import FIT, SCORE_COLS, scored_columns, sql_score
 from .registry import query
 
 
-def _stream(spark, df, files=4):
-    """The rows as a file stream of one file per micro-batch."""
+def _stream(spark, df):
+    """The rows, in the files Spark writes them to, as a stream of several micro-batches.
+
+    ``timberline.stream.filesPerTrigger`` sets the files of a batch.
+    """
     path = scratch_path(spark, "stream_in")
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    df.write.parquet(path)
+    files = spark.conf.get("timberline.stream.filesPerTrigger", "4")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 _ALL = "test as (select line_id, label, tokens from tokens where split = 'test')"
@@ -52,7 +54,7 @@ def stream_first_occurrence(spark, sf):
     lines = I.lines(spark, sf).select("line_id", "event_template")
     sink = scratch_path(spark, "firsts")
     q = (
-        J.stream_first_occurrence(_stream(spark, lines)).writeStream.format("parquet")
+        J.stream_first_occurrence(_stream(spark, lines), unbounded=True).writeStream.format("parquet")
         .option("path", sink).option("checkpointLocation", scratch_path(spark, "ck"))
         .trigger(availableNow=True).start()
     )
@@ -67,11 +69,21 @@ def stream_first_occurrence(spark, sf):
       from event_lines) group by s""",
 )
 def stream_time_windows(spark, sf):
-    name = f"windows_{uuid.uuid4().hex}"
-    q = (
-        J.stream_time_windows(_stream(spark, I.event_lines(spark, sf)), 30, 15)
-        .writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", scratch_path(spark, "ck")).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return spark.table(name).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    # windows are appended once the watermark has passed them; the files are in no order of time, so
+    # the delay covers the whole table, and a closing line far ahead lets the last windows out
+    lines = I.event_lines(spark, sf).select("ts", "label")
+    path, sink = scratch_path(spark, "stream_in"), scratch_path(spark, "windows")
+    lines.write.parquet(path)
+    stream = spark.readStream.schema(lines.schema).option(
+        "maxFilesPerTrigger", spark.conf.get("timberline.stream.filesPerTrigger", "4")).parquet(path)
+    checkpoint = scratch_path(spark, "ck")
+    closing = spark.range(1).select(F.lit("9000-01-01").cast("timestamp").alias("ts"), F.lit(0).alias("label"))
+    for more in (None, closing):
+        if more is not None:
+            more.write.mode("append").parquet(path)
+        q = (
+            J.stream_time_windows(stream, 30, 15, "36500 days").writeStream.outputMode("append").format("parquet")
+            .option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+    return spark.read.parquet(sink).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

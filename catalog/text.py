@@ -232,16 +232,11 @@ def _lit(s: str) -> str:
 
 def sql_prompt(examples: str, query: str) -> str:
     """Prompt text of a list of ``{'query', 'answer'}`` structs and a query."""
-    shot = (
-        "'Query of example ' || i || ':' || chr(10) || '''''''' || chr(10) || e.query || chr(10) || "
-        "'''''''' || chr(10) || 'Answer of example ' || i || ':' || chr(10) || '''''''' || chr(10) || "
-        "e.answer || chr(10) || '''''''' || chr(10)"
-    )
+    shot = "'[sample] ' || e.query || chr(10) || '[label] ' || e.answer || chr(10)"
     return (
-        f"replace({_lit(T.INSTRUCTION)} || chr(10) || chr(10) || "
-        f"coalesce(array_to_string(list_transform({examples}, lambda e, i: {shot}), chr(10)), '') || chr(10) || "
-        f"{_lit(T.OUTPUT_RULES)} || chr(10) || chr(10) || 'Query:' || chr(10) || '''''''' || chr(10) || {query} || "
-        "chr(10) || '''''''' || chr(10), '<*>', '')"
+        f"replace('[task] ' || {_lit(T.INSTRUCTION)} || chr(10) || "
+        f"coalesce(array_to_string(list_transform({examples}, lambda e: {shot}), ''), '') || "
+        f"'[format] ' || {_lit(T.OUTPUT_RULES)} || chr(10) || '[entry] ' || {query}, '<*>', '')"
     )
 
 

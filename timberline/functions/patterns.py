@@ -30,8 +30,6 @@ MASK_PRESETS = {
     "Industry": [],
 }
 
-HEAD_PRESETS = {"BGL": ["Level"], "Thunderbird": ["Level"], "Industry": []}
-
 
 def jvm_pattern(pattern: str) -> str:
     """Spell out the Unicode classes of a Python pattern for the JVM regex engine."""

@@ -116,10 +116,11 @@ def build_scorer(model: NgramCounts, emphasize: bool = True) -> Scorer:
         F.count_if(F.col("n1") > 0).alias("seen1"),
         F.coalesce(F.sum("total"), F.lit(0)).alias("mass"),
     ).head()
-    classes = {
-        r["label"]: r
-        for r in model.class_counts.filter(F.col("label").isin(0, 1)).orderBy("label").head(2)
-    }
+    # the scores are of two classes: another label is an error, not a document to leave out
+    other = model.class_counts.filter(~F.coalesce(F.col("label").isin(0, 1), F.lit(False))).head()
+    if other is not None:
+        raise ValueError(f"label {other['label']!r} is neither 0 nor 1")
+    classes = {r["label"]: r for r in model.class_counts.orderBy("label").collect()}
     if not classes:
         raise ValueError("the model holds no class")
     n_docs = sum(r["n"] for r in classes.values())
@@ -165,22 +166,27 @@ def nb_score(
     """
     scorer = model if isinstance(model, Scorer) else build_scorer(model, emphasize)
     grams = ngrams(tokens, scorer.n)
-    exploded = docs.select(doc_id, F.explode(grams).alias("ngram"))
-    hot = scorer.terms.filter(F.col("total") >= scorer.hot_floor).drop("total")
-    rare = scorer.terms.filter(F.col("total") < scorer.hot_floor).drop("total")
-    hot_part = exploded.join(F.broadcast(hot), "ngram")
-    rare_part = (
-        exploded.join(F.broadcast(hot.select("ngram")), "ngram", "left_anti")
-        .join(rare, "ngram", "left")
-        .withColumns({
-            "t0": F.coalesce("t0", F.lit(scorer.unseen[0])),
-            "t1": F.coalesce("t1", F.lit(scorer.unseen[1])),
-        })
+    # one pass over the documents: an n-gram is looked up among the frequent ones where it lies, and
+    # only what is not found there keeps its key for the shuffled look-up (null keys meet nothing)
+    exploded = docs.select(doc_id, F.explode_outer(grams).alias("ngram"))
+    hot = scorer.terms.filter(F.col("total") >= scorer.hot_floor).select(
+        "ngram", F.col("t0").alias("h0"), F.col("t1").alias("h1"))
+    rare = scorer.terms.filter(F.col("total") < scorer.hot_floor).select(
+        F.col("ngram").alias("rare"), "t0", "t1")
+    looked = exploded.join(F.broadcast(hot), "ngram", "left").select(
+        doc_id, "h0", "h1", F.col("ngram").isNull().alias("none"),
+        F.when(F.col("h0").isNull(), F.col("ngram")).alias("rare"),
     )
-    empty_part = docs.filter(F.size(grams) == 0).select(
-        doc_id, F.lit(0.0).alias("t0"), F.lit(0.0).alias("t1")
+    known = looked.groupBy(doc_id, "rare", "none").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1"))
+    parts = known.join(rare, "rare", "left").select(
+        doc_id,
+        *[
+            F.when(F.col("none"), F.lit(0.0)).when(F.col("rare").isNull(), F.col(f"h{c}"))
+            .otherwise(F.col("n") * F.coalesce(F.col(f"t{c}"), F.lit(scorer.unseen[c]))).alias(f"t{c}")
+            for c in (0, 1)
+        ],
     )
-    parts = hot_part.drop("ngram").unionByName(rare_part.drop("ngram")).unionByName(empty_part)
     sums = parts.groupBy(doc_id).agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1"))
     # a class without documents cannot win and has no score
     prior = {c: F.lit(scorer.priors.get(c)).cast("double") for c in (0, 1)}

@@ -44,12 +44,12 @@ def cell_offsets(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     in_coarse = (
-        Window.partitionBy(*part, "_c").orderBy(*f_names)
+        Window.partitionBy(*part, "_c").orderBy(*map(F.asc_nulls_last, f_names))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     # one row per coarse cell (a day, or 2**40 ids): few rows by construction
     over_coarse = (
-        Window.partitionBy(*(part or [F.lit(0)])).orderBy("_c")
+        Window.partitionBy(*(part or [F.lit(0)])).orderBy(F.asc_nulls_last("_c"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     coarse_offsets = (
@@ -58,12 +58,21 @@ def cell_offsets(
         .drop("_cn")
     )
     return (
-        cells.withColumn("_foff", F.coalesce(F.sum("_n").over(in_coarse), F.lit(0)))
-        .join(coarse_offsets, [*part, "_c"])
+        _null_safe(cells.withColumn("_foff", F.coalesce(F.sum("_n").over(in_coarse), F.lit(0))),
+                   coarse_offsets, [*part, "_c"])
         .select(*part, "_c", *f_names, "_n", (F.col("_foff") + F.col("_coff")).alias("_offset"))
     )
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which null keys meet; the key columns of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, on).drop(*[f"_r_{k}" for k in keys])
+
+
 def dense_position(
     df: DataFrame,
     coarse: Column,
@@ -72,15 +81,15 @@ def dense_position(
     partition: Sequence[str] = (),
     out: str = "position",
 ) -> DataFrame:
-    """Add a 1-based consecutive position (restarting per ``partition``; keys not null)."""
+    """Add a 1-based consecutive position, restarting per ``partition``; nulls come last."""
     part = list(partition)
     f_names = [f"_f{i}" for i in range(len(fine))]
     keys = [*part, "_c", *f_names]
     offsets = cell_offsets(df, coarse, fine, part).drop("_n")
     tagged = df.withColumns({"_c": coarse, **dict(zip(f_names, fine))})
-    in_cell = Window.partitionBy(*keys).orderBy(*order)
+    in_cell = Window.partitionBy(*keys).orderBy(*[F.asc_nulls_last(o) if isinstance(o, str) else o for o in order])
     return (
-        tagged.join(offsets, keys)
+        _null_safe(tagged, offsets, keys)
         .withColumn(out, F.col("_offset") + F.row_number().over(in_cell))
         .select(*df.columns, out)
     )

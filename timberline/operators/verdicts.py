@@ -39,8 +39,13 @@ def distinct_queries(windows: DataFrame, query: str = "query") -> DataFrame:
 
 
 def verdict_join(queries: DataFrame, verdicts: DataFrame, query: str = "query") -> DataFrame:
-    """Queries with their cached verdict; null where none is known."""
-    return queries.join(verdicts.select(query, "prediction", "analysis"), query, "left")
+    """Queries with their cached verdict; null where none is known.
+
+    A query judged more than once has one verdict: a table has no last entry, so the greatest
+    (prediction, analysis) stands and no window is doubled.
+    """
+    one = verdicts.groupBy(query).agg(F.max(F.struct("prediction", "analysis")).alias("_v"))
+    return queries.join(one.select(query, "_v.prediction", "_v.analysis"), query, "left")
 
 
 def pending_queries(queries: DataFrame, verdicts: DataFrame, query: str = "query") -> DataFrame:

@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     if path:
         return path.rstrip("/")
     master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
@@ -60,10 +60,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system Spark knows is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan of fewer files than cores one partition per core; leave others as they are.
+    """Give a scan of fewer splits than cores one partition per core; leave others as they are.
 
-    A file with a single row group is read by one task however large the cluster is.
+    Splits are of ``spark.sql.files.maxPartitionBytes``, so only a table of less than that for each
+    core is dealt out; a large one is read where it lies, however few its files.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

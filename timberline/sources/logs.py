@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.patterns import OUTER_SPACE, jvm_pattern
+from ..operators.positions import assign_line_id
 
 # fixed values: line formats of the two public data sets
 LOG_FORMATS = {
@@ -86,9 +87,11 @@ def parse_log_format(df: DataFrame, fmt: str, value: str = "value") -> DataFrame
     for i, name in enumerate(numbers):
         field = F.get("_parts", F.lit(i))
         fields[name] = F.nullif(field, F.lit("")) if name in optional else field
+    # a filter on the parts would be pushed below them and match each line twice, so lines that do
+    # not fit are dropped by an explode of none or one
+    fitting = F.filter(F.array(parts), lambda p: F.size(p) == len(numbers))
     return (
-        df.withColumn("_line", line).withColumn("_parts", parts)
-        .filter(F.size("_parts") == len(numbers))
+        df.withColumn("_line", line).withColumn("_parts", F.explode(fitting))
         .withColumns(fields).drop("_line", "_parts", value)
     )
 
@@ -105,8 +108,6 @@ def read_sessions(
         if schema is None:
             raise ValueError("nested sessions need the schema of a line record")
         raw = read_raw_log(spark, path)
-        from ..operators.positions import assign_line_id
-
         sessions = assign_line_id(raw, out="session_id")
         records = F.from_json("value", f"array<struct<{schema}>>")
         return sessions.select("session_id", F.posexplode(records).alias("pos", "r")).select(
@@ -129,25 +130,36 @@ def write_sessions(
     writer.save(path)
 
 
-def _objects(spark: SparkSession, path: str, value_type: str) -> DataFrame:
-    """Entries of JSON objects, one object per text line."""
-    return (
-        spark.read.option("lineSep", "\n").text(path)
-        .select(F.explode(F.from_json("value", f"map<string,{value_type}>")).alias("key", "entry"))
-    )
+def _objects(spark: SparkSession, path: str, value_type: str, whole_file: bool) -> DataFrame:
+    """Entries of JSON objects, one object per text line or one (indented or not) per file.
+
+    Text that is no such object is an error, never an empty result.
+    """
+    text = spark.read.option("wholetext", True) if whole_file else spark.read.option("lineSep", "\n")
+    entries = F.from_json("value", f"map<string,{value_type}>", {"mode": "FAILFAST"})
+    return text.text(path).filter(F.trim("value") != "").select(F.explode(entries).alias("key", "entry"))
 
 
-def read_template_map(spark: SparkSession, path: str) -> DataFrame:
-    """``(content, template)`` from JSON objects; a template may be null."""
-    return _objects(spark, path, "string").select(
+def read_template_map(spark: SparkSession, path: str, whole_file: bool = False, flat: bool = False) -> DataFrame:
+    """``(content, template)`` from JSON objects; a template may be null.
+
+    ``whole_file`` reads one object per file, as people write it. A dictionary too large for that is
+    kept ``flat``: one ``{"content": ..., "template": ...}`` per line.
+    """
+    if flat:
+        return spark.read.schema("content string, template string").option("mode", "FAILFAST").json(path)
+    return _objects(spark, path, "string", whole_file).select(
         F.col("key").alias("content"), F.col("entry").alias("template")
     )
 
 
-def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """``(query, prediction, analysis, examples)`` from JSON objects, cache or human feedback."""
+def read_verdicts(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+    """``(query, prediction, analysis, examples)`` from JSON objects, cache or human feedback.
+
+    ``whole_file`` reads one object per file, as people write it.
+    """
     entry = "struct<prediction:string,analysis:string,examples:array<struct<query:string,answer:string>>>"
-    return _objects(spark, path, entry).select(F.col("key").alias("query"), "entry.*")
+    return _objects(spark, path, entry, whole_file).select(F.col("key").alias("query"), "entry.*")
 
 
 def write_verdicts(verdicts: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -17,10 +17,10 @@ def write_report_csv(df: DataFrame, path: str, quote_all: bool = True, mode: str
     )
 
 
-def run_id(params: Mapping[str, object], keys: Sequence[str] | None = None) -> tuple[str, str]:
+def run_id(params: Mapping[str, object], keys: Sequence[str] | None = None) -> str:
     """Sorted-key JSON of the chosen parameters, the text that is hashed to the run id."""
     chosen = {k: params[k] for k in (keys if keys is not None else params)}
-    return json.dumps(chosen, sort_keys=True), json.dumps(dict(params), sort_keys=True)
+    return json.dumps(chosen, sort_keys=True)
 
 
 def append_results(
@@ -30,7 +30,7 @@ def append_results(
     keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """One run record: id, all parameters, metrics.  Appended to ``path`` when given."""
-    chosen, _ = run_id(params, keys)
+    chosen = run_id(params, keys)
     record = metrics_df.select(
         F.substring(F.sha2(F.lit(chosen), 256), 1, 8).alias("expname"),
         *[F.lit(v).alias(k) for k, v in params.items()],

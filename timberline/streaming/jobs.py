@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import tokenize_line
 from ..operators.bayes import NgramCounts, add_counts, build_scorer, nb_fit, nb_score
+from ..session import path_exists
 
 
 def _start(
@@ -75,13 +76,13 @@ def load_counts(
     spark, model_path: str, base: NgramCounts | None = None, before: int | None = None
 ) -> NgramCounts | None:
     """Counts of all written batches (or those before a batch id) on top of ``base``."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        classes = spark.read.parquet(f"{model_path}/class_counts")
-        grams = spark.read.parquet(f"{model_path}/ngram_counts")
-    except AnalysisException:  # nothing written yet
+    found = [path_exists(spark, f"{model_path}/{name}") for name in ("class_counts", "ngram_counts")]
+    if not any(found):  # nothing written yet
         return base
+    if not all(found):
+        raise FileNotFoundError(f"{model_path} holds only one of class_counts and ngram_counts")
+    classes = spark.read.parquet(f"{model_path}/class_counts")
+    grams = spark.read.parquet(f"{model_path}/ngram_counts")
     if before is not None:
         classes = classes.filter(F.col("batch_id") < before)
         grams = grams.filter(F.col("batch_id") < before)
@@ -93,10 +94,16 @@ def load_counts(
 
 
 def stream_first_occurrence(
-    stream: DataFrame, key: str = "event_template", ts: str = "ts", watermark: str | None = None
+    stream: DataFrame, key: str = "event_template", ts: str = "ts", watermark: str | None = None,
+    unbounded: bool = False,
 ) -> DataFrame:
-    """Each key only when first seen; with a watermark, first within that delay."""
+    """Each key only when first seen; with a watermark, first within that delay.
+
+    Without a watermark every key is kept for ever, which must be asked for (``unbounded``).
+    """
     if watermark is None:
+        if not unbounded:
+            raise ValueError("give a watermark, or unbounded=True to keep every key for ever")
         return stream.dropDuplicates([key])
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
 
@@ -105,7 +112,7 @@ def stream_time_windows(
     stream: DataFrame,
     window_min: int,
     step_min: int,
-    watermark: str = "0 seconds",
+    watermark: str,
     origin: int = 0,
     ts: str = "ts",
     label: str = "label",
@@ -113,6 +120,7 @@ def stream_time_windows(
     """Lines and any-label per event-time window; ``origin`` (epoch seconds) anchors them.
 
     A stream has no first second, so the anchor is given and the windows at the edges count.
+    Lines later than ``watermark`` behind the newest are left out.
     """
     start = f"{origin % (step_min * 60)} seconds"
     return (
