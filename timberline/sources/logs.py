@@ -135,9 +135,9 @@ def _objects(spark: SparkSession, path: str, value_type: str, whole_file: bool)
 
     Text that is no such object is an error, never an empty result.
     """
-    text = spark.read.option("wholetext", True) if whole_file else spark.read.option("lineSep", "\n")
+    text = spark.read.text(path, wholetext=True) if whole_file else spark.read.text(path, lineSep="\n")
     entries = F.from_json("value", f"map<string,{value_type}>", {"mode": "FAILFAST"})
-    return text.text(path).filter(F.trim("value") != "").select(F.explode(entries).alias("key", "entry"))
+    return text.filter(F.trim("value") != "").select(F.explode(entries).alias("key", "entry"))
 
 
 def read_template_map(spark: SparkSession, path: str, whole_file: bool = False, flat: bool = False) -> DataFrame:
