@@ -83,24 +83,45 @@ def order_minhash(kmers: np.ndarray, minima: int = MINIMA, seeds: np.ndarray = _
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         words = Words(texts_of(batch))
-        flat = words.hashes()[words.codes]
-        keys, counts, bodies = [], [], []
+        flat = _word_hashes(words)
+        keys, counts = [], []
         with np.errstate(over="ignore"):
             for a, b in zip(words.starts[:-1], words.starts[1:]):
                 kmers = shingles(flat[a:b])
                 keys.append(order_minhash(kmers).tolist() if len(kmers) else [])
                 counts.append(len(np.unique(kmers)))
-                bodies.append(flat[a:b].astype("<u8").tobytes())
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), pa.array(counts, pa.int32()), pa.array(keys, pa.list_(pa.int64())),
-            pa.array(bodies, pa.binary()),
-        ], names=["doc_id", "size", "keys", "words"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(counts, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+            names=["doc_id", "size", "keys"])
+
+
+def _word_hashes(words: Words) -> np.ndarray:
+    """32 bits for each word: a k-mer is told apart by five of them."""
+    return (words.hashes() >> np.uint64(32))[words.codes]
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        words = Words(texts_of(batch))
+        flat = _word_hashes(words).astype("<u4")
+        bodies = [flat[a:b].tobytes() for a, b in zip(words.starts[:-1], words.starts[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bodies, pa.binary())], names=["doc_id", "words"])
+
+
+def body(words: bytes) -> np.ndarray:
+    return np.frombuffer(words, "<u4").astype(np.uint64)
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, keys, words): distinct k-mers, sketch keys and word hashes, written once."""
-    return materialize(docs.select("doc_id", "text").mapInArrow(
-        _sketch, "doc_id long, size int, keys array<bigint>, words binary"), "sketches")
+    """(doc_id, size, keys): distinct k-mers and sketch keys, written once; texts are read where they lie."""
+    rows = docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, size int, keys array<bigint>")
+    return materialize(rows, "sketches")
+
+
+def bodies(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, words) of the documents named in ``ids(doc_id)``, written once."""
+    chosen = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return materialize(chosen.mapInArrow(_bodies, "doc_id long, words binary"), "words")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -144,7 +165,7 @@ def banded_alignment(a: list, b: list, band: int) -> int:
 
 def similar(x: bytes, y: bytes, threshold: float = SIMILARITY) -> bool:
     """Distinct 5-mers shared, then word alignment: both at least ``threshold``."""
-    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    a, b = body(x), body(y)
     if jaccard(np.unique(shingles(a)), np.unique(shingles(b))) < threshold:
         return False
     longest = max(len(a), len(b))
@@ -160,9 +181,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [c.filter(pa.array(good, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The links among distinct candidate pairs (a, b), written once."""
-    words = sketches.select("doc_id", "words")
     both = (
         pairs.join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("x")).hint("merge"), "a")
         .join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("y")).hint("merge"), "b")
@@ -178,7 +198,7 @@ def _reach(size, other) -> F.Column:
 def _kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         with np.errstate(over="ignore"):
-            found = [np.unique(shingles(np.frombuffer(w, "<u8"))).view(np.int64) for w in batch.column("words").to_pylist()]
+            found = [np.unique(shingles(body(w))).view(np.int64) for w in batch.column("words").to_pylist()]
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))),
             pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int64()),
@@ -191,12 +211,12 @@ def _unit_links(key: tuple, unit: pa.Table) -> pa.Table:
     left, right = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
     found = []
     with np.errstate(over="ignore"):
-        sets = [np.unique(shingles(np.frombuffer(r["words"], "<u8"))) for r in right]
+        sets = [np.unique(shingles(body(r["words"]))) for r in right]
         sizes = np.array([len(x) for x in sets])
         values, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
         edges = np.concatenate([[0], np.cumsum(sizes)])
         for r in left:
-            own = np.unique(shingles(np.frombuffer(r["words"], "<u8")))
+            own = np.unique(shingles(body(r["words"])))
             has = np.isin(values, own, assume_unique=True)
             total = np.concatenate([[0], np.cumsum(has[flat])])
             shared = total[edges[1:]] - total[edges[:-1]]
@@ -207,7 +227,7 @@ def _unit_links(key: tuple, unit: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def block_links(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+def block_links(rows: DataFrame, words: DataFrame) -> DataFrame:
     """Links between classes of large buckets; exact.
 
     Two sets of size m and n with the similarity share a k-mer among the (1 - s) m + 1 rarest of
@@ -217,29 +237,28 @@ def block_links(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     """
     apart = F.col("label") != F.col("top")
     docs = rows.groupBy("doc_id").agg(
-        F.first("label").alias("label"), F.max(apart).alias("apart"), F.min(F.when(apart, F.col("top"))).alias("home"))
+        F.first("label").alias("label"), F.first("size").alias("size"), F.max(apart).alias("apart"), F.min(F.when(apart, F.col("top"))).alias("home"))
     docs = docs.withColumn("home", F.coalesce("home", "label"))
     homes = docs.groupBy("home", "apart").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     docs = materialize(docs.join(homes.hint("merge"), ["home", "apart"]).select(
-        "doc_id", "label", "apart", F.xxhash64("home", "apart", F.pmod(F.xxhash64("doc_id"), "blocks")).alias("block")), "blocks")
+        "doc_id", "label", "size", "apart", F.xxhash64("home", "apart", F.pmod(F.xxhash64("doc_id"), "blocks")).alias("block")), "blocks")
     kmers = materialize(
-        sketches.select("doc_id", "words").join(docs.select("doc_id").hint("merge"), "doc_id", "left_semi")
+        words.join(docs.select("doc_id").hint("merge"), "doc_id", "left_semi")
         .mapInArrow(_kmers, "doc_id long, kmer long"), "kmers")
+    # a k-mer of one document brings nothing together; it only takes a place among the rarest
     often = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # a k-mer of one document brings nothing together, but takes a place among the rarest
-    ranked = kmers.join(often.hint("merge"), "kmer", "left").groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "kmer"))).alias("k"))
-    size = F.size("k")
+    ranked = kmers.join(often.hint("merge"), "kmer").groupBy("doc_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("n", "kmer"))), lambda x: x["kmer"]).alias("k"))
+    alone = F.col("size") - F.size("k")
+    take = F.col("size") - F.ceil(F.col("size") * F.lit(SIMILARITY - 1e-9)).cast("int") + 1 - alone
     rare = materialize(
-        ranked.select("doc_id", F.slice("k", 1, size - F.ceil(size * F.lit(SIMILARITY - 1e-9)).cast("int") + 1).alias("k"))
-        .join(docs.hint("merge"), "doc_id")
-        .select("block", "apart", F.explode(F.filter("k", lambda x: x["n"] > 1)).alias("k"))
-        .select("block", "apart", F.col("k.kmer").alias("kmer")).distinct(), "rare")
+        ranked.join(docs.hint("merge"), "doc_id").filter(take > 0)
+        .select("block", "apart", F.explode(F.slice("k", F.lit(1), take)).alias("kmer")).distinct(), "rare")
     units = materialize(
         rare.filter("apart").select("kmer", F.col("block").alias("p"))
         .join(rare.select("kmer", F.col("block").alias("q"), "apart").hint("merge"), "kmer")
         .filter("not apart or p <= q").select("p", "q").distinct(), "units")
-    texts = sketches.select("doc_id", "words").join(docs.hint("merge"), "doc_id").select("doc_id", "label", "block", "words")
+    texts = words.join(docs.hint("merge"), "doc_id").select("doc_id", "label", "block", "words")
     sides = [
         units.withColumn("block", F.col(name)).join(texts.hint("merge"), "block")
         .select("p", "q", F.lit(side).alias("side"), "doc_id", "label", "words")
@@ -279,8 +298,8 @@ def leader_pairs(rows: DataFrame, leaders: int = LEADERS) -> DataFrame:
         F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
 
 
-def near_links(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(labels(node, label), links(a, b)) over distinct texts."""
+def near_links(sketches: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(labels(node, label), links(a, b)) over distinct texts; ``docs(doc_id, text)`` holds them at least."""
     entries = sketches.select("doc_id", "size", F.posexplode("keys").alias("sketch", "key"))
     entries = entries.withColumn("order", F.xxhash64("doc_id", F.col("sketch") % ORDERS))
     leaders = entries.groupBy("sketch", "key").agg(
@@ -291,18 +310,20 @@ def near_links(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     tried = materialize(
         members.filter((F.col("doc_id") != F.col("leader")) & _reach("size", "leader_size"))
         .select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct(), "pairs")
-    links = verified(tried, sketches)
+    # the words of documents that share a bucket, fetched in one pass
+    words = bodies(docs, members.select("doc_id").distinct())
+    links = verified(tried, words)
     labels = components(links)
     # documents apart from the largest class of a large bucket try more members of that class first
     again = leader_pairs(open_buckets(members.filter(F.col("n") > SMALL), labels)).join(
         tried.hint("merge"), ["a", "b"], "left_anti")
     again = materialize(again, "pairs")
-    found = verified(again, sketches)
+    found = verified(again, words)
     links, tried = links.unionByName(found), tried.unionByName(again)
     labels = components(links, labels)
     rest = open_buckets(members, labels)
     small = bucket_pairs(rest.filter(F.col("n") <= SMALL)).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
-    found = verified(small, sketches).unionByName(block_links(rest.filter(F.col("n") > SMALL), sketches))
+    found = verified(small, words).unionByName(block_links(rest.filter(F.col("n") > SMALL), words))
     if not found.isEmpty():
         labels = components(found.unionByName(links), labels)
     return labels, links.unionByName(found)
@@ -316,14 +337,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     member = materialize(texts.select("doc_id", F.sha2("text", 256).alias("digest")).distinct(), "digests")
-    # one row per different text, by the largest id; the text itself is joined to the few that stay
-    heads = member.groupBy("digest").agg(F.max("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
-    heads = materialize(heads, "heads")
-    keyed = texts.filter("doc_id is not null").join(
-        heads.select(F.col("head").alias("doc_id"), F.col("digest").alias("__digest")).hint("merge"), "doc_id"
-    ).filter(F.sha2("text", 256) == F.col("__digest")).dropDuplicates(["doc_id"])
-    sketches = sketched(keyed)
-    labels, links = near_links(sketches)
+    # one row per different text, by its largest id
+    heads = materialize(
+        member.groupBy("digest").agg(F.max("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")), "heads")
+    named = texts.filter("doc_id is not null")
+    sketches = sketched(named).join(heads.select(F.col("head").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    labels, links = near_links(materialize(sketches.dropDuplicates(["doc_id"]), "sketches"), named)
     degree = links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count(F.lit(1)).alias("n_links"))
     heads = heads.join(labels.select(F.col("node").alias("head"), "label").hint("merge"), "head", "left").join(
         degree.hint("merge"), "head", "left")
