@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from timberline.llm import exact, fm, omh, packing, rules
 from timberline.llm.queries import word_tokenizer
-from timberline.llm.tables import table
+from timberline.llm.tables import fresh, table
 from timberline.session import materialize
 
 
@@ -31,8 +31,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
-    gone = omh.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone.hint("merge"), docs["doc_id"] == F.col("__id"), "left_anti")
+    key = fresh(docs, "__key")
+    gone = omh.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(key))
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone[key], "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

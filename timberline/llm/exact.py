@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from timberline.session import scratch_path
 
+from .tables import fresh
+
 
 class DigestIndex:
     """A persistent table of digests at ``path``; open the same path again to go on with it."""
@@ -92,12 +94,12 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "
 def exact_unique(docs: DataFrame, verdicts: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their own columns; rows repeated in id and text stay once."""
     lowest = F.lit(-(1 << 63))
-    keys = verdicts.filter("kept").select(
-        F.coalesce("doc_id", lowest).alias("__id"), F.col("text_sha256").alias("__sha"))
+    key, sha = fresh(docs, "__key"), fresh(docs, "__sha")
+    keys = verdicts.filter("kept").select(F.coalesce("doc_id", lowest).alias(key), F.col("text_sha256").alias(sha))
     rows = docs.withColumns({
-        "__id": F.coalesce("doc_id", lowest), "__sha": F.sha2(F.coalesce(F.col(text), F.lit("")), 256)})
-    kept = rows.join(keys.hint("merge"), ["__id", "__sha"], "left_semi")
-    return kept.dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+        key: F.coalesce("doc_id", lowest), sha: F.sha2(F.coalesce(F.col(text), F.lit("")), 256)})
+    kept = rows.join(keys.hint("merge"), [key, sha], "left_semi")
+    return kept.dropDuplicates([key, sha]).select(*docs.columns)
 
 
 EXACT_SQL = """

@@ -31,6 +31,7 @@ from pyspark.sql.types import StringType
 
 from timberline.session import materialize
 
+from .tables import fresh
 from .words import Words, inside, slices, sums, texts_of, windows
 
 #: A line in more (effective) documents of a host than this is boilerplate.
@@ -173,13 +174,13 @@ def _without_lines(text: pd.Series, removed: pd.Series) -> pd.Series:
 
 def cleaned(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The kept documents without their boilerplate lines, with all columns of ``docs``."""
-    keep = (
-        verdicts.filter("kept").groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.flatten(F.collect_set("removed_lines")).alias("__gone"))
-    )
-    out = docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["__id"]))
-    text = F.when(F.size("__gone") > 0, _without_lines("text", "__gone")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    key, gone = fresh(docs, "__key"), fresh(docs, "__gone")
+    keep = verdicts.filter("kept").groupBy(F.col("doc_id").alias(key)).agg(
+        F.flatten(F.collect_set("removed_lines")).alias(gone))
+    out = docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep[key]))
+    cut = F.size(gone) > 0
+    out = out.withColumn("text", F.when(cut, _without_lines("text", gone)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
