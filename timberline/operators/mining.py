@@ -45,15 +45,6 @@ def _template_blocks(templates: DataFrame, leaf: Sequence[str], value: Column) -
     )
 
 
-def _by_rarity(tokens: Column) -> Column:
-    """Distinct tokens in one fixed order that tends to put rare ones first, the wildcard last."""
-    rank = lambda x: F.when(x == WILDCARD, F.lit(1)).otherwise(-F.length(x))
-    ordered = F.array_sort(
-        F.transform(F.array_distinct(tokens), lambda x: F.struct(rank(x).alias("r"), x.alias("t")))
-    )
-    return F.transform(ordered, lambda s: s["t"])
-
-
 def _prefix(ordered: Column, st: float) -> Column:
     """Tokens of which two lists of similarity ``st`` must have one in common."""
     size = F.size(ordered)
@@ -75,33 +66,24 @@ def _whole_words(tokens: Column) -> Column:
 def _candidate_pairs(lines: DataFrame, templates: DataFrame, st: float) -> DataFrame:
     """Distinct ``(line_id, template_id)`` that can be similar; ``leaf`` is a hash of the leaf.
 
-    Key "p": one of the prefix tokens is shared.  Key "w": the line holds a word the template's
-    pattern needs.  Key "a": patterns without such a word meet all lines of their leaf.
+    A template waits under the tokens of which a line of similarity ``st`` must hold one: its rarest
+    ones, by the number of templates of the leaf that hold them, so a token all of them share comes
+    last. It also waits under the rarest word its pattern needs; a pattern without such a word meets
+    all lines of its leaf. A line asks for each of its tokens once.
     """
-    def keys(kind: str, token: Column) -> Column:
-        return F.transform(token, lambda x: F.struct(F.lit(kind).alias("k"), x.alias("t")))
-
-    ordered = _by_rarity(F.col("tokens"))
-    any_line = F.array(F.lit(""))
-    line_keys = lines.select(
-        "leaf", "line_id",
-        F.explode(F.concat(
-            keys("p", _prefix(ordered, st)), keys("w", ordered), keys("a", any_line)
-        )).alias("key"),
-    )
-    word = F.slice(_by_rarity(_whole_words(F.col("tokens"))), 1, 1)
-    template_keys = templates.select(
-        "leaf", "template_id",
-        F.explode(F.concat(
-            keys("p", _prefix(ordered, st)), keys("w", word),
-            F.when(F.size(word) == 0, keys("a", any_line)).otherwise(keys("a", F.slice(any_line, 1, 0))),
-        )).alias("key"),
-    )
-    return (
-        line_keys.select("leaf", "line_id", "key.k", "key.t")
-        .join(template_keys.select("leaf", "template_id", "key.k", "key.t"), ["leaf", "k", "t"])
-        .select("line_id", "template_id").distinct()
-    )
+    rank = F.when(F.col("t") == WILDCARD, F.lit(1 << 60)).otherwise(F.col("n"))
+    held = templates.select("leaf", "template_id", F.explode(F.array_distinct("tokens")).alias("t"))
+    often = held.groupBy("leaf", "t").agg(F.count(F.lit(1)).alias("n"))
+    ranked = held.join(often, ["leaf", "t"]).groupBy("template_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "t"))), lambda x: x["t"]).alias("ordered"))
+    known = templates.join(ranked, "template_id", "left").withColumn(
+        "ordered", F.coalesce("ordered", F.array().cast("array<string>")))
+    words = F.array_intersect("ordered", _whole_words(F.col("tokens")))
+    word = F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(F.slice(words, 1, 1))
+    waiting = known.select(
+        "leaf", "template_id", F.explode(F.array_union(_prefix(F.col("ordered"), st), word)).alias("t"))
+    asking = lines.select("leaf", "line_id", F.explode(F.array_union(F.array(F.lit("")), F.col("tokens"))).alias("t"))
+    return asking.join(waiting, ["leaf", "t"]).select("line_id", "template_id").distinct()
 
 
 def match_templates(
