@@ -354,19 +354,29 @@ def decode(page: Page, odds: np.ndarray) -> np.ndarray:
     return state == 1
 
 
+def main_texts(htmls: list[str], trees: list) -> list[str]:
+    """Main text of each page; the nodes of all are scored together."""
+    pages = [Page(h) for h in htmls]
+    if not pages or not trees:
+        return [""] * len(pages)
+    odds = log_odds(np.concatenate([node_features(p) for p in pages]), trees)
+    out, at = [], 0
+    for page in pages:
+        main = decode(page, odds[at:at + len(page.nodes)])
+        at += len(page.nodes)
+        out.append("\n".join(text for node, text in page.blocks if main[node]))
+    return out
+
+
 def main_text(html: str, trees: list) -> str:
-    page = Page(html)
-    if not page.blocks or not trees:
-        return ""
-    main = decode(page, log_odds(node_features(page), trees))
-    return "\n".join(text for at, text in page.blocks if main[at])
+    return main_texts([html], trees)[0]
 
 
 def extract(pages: DataFrame, trees: list) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "html"):
-            texts = [main_text(h, trees) for h in texts_of(batch, "html").to_pylist()]
+        for batch in slices(batches, "html", 1 << 20):
+            texts = main_texts(texts_of(batch, "html").to_pylist(), trees)
             yield pa.RecordBatch.from_arrays([
                 batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                 pa.array([len(t) for t in texts], pa.int64()),
