@@ -26,8 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .words import slices, texts_of
 
@@ -170,8 +171,11 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     ``words`` is partitioned by ``word``, so the grouping needs no shuffle.
     """
     n = F.length("word")
-    spans = words.select("word", "places", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = spans.select("word", "places", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, "n"))).alias("e"))
+    # a very long word keeps one row
+    short = n <= LONG
+    spans = words.select("word", "places", n.alias("n"), F.explode(F.sequence(F.lit(0), F.when(short, n - 1).otherwise(0))).alias("s"))
+    last = F.when(short, F.least(F.col("s") + longest, "n")).otherwise(1)
+    spans = spans.select("word", "places", "n", "s", F.explode(F.sequence(F.col("s") + 1, last)).alias("e"))
     edges = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(pieces), "piece", "left")
     # substrings that are no piece go before the grouping, but for one row that keeps the word
     edges = edges.filter(F.col("id").isNotNull() | ((F.col("s") == 0) & (F.col("e") == 1)))
@@ -180,11 +184,8 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
         F.first("places").alias("places"), F.first("n").alias("n"), F.array_sort(F.collect_list(kept)).alias("edges"))
 
 
-def viterbi(n: Column, edges: Column, word: Column) -> Column:
-    """Ids along the best path: a fold over the edges by end, then one back along the chosen ones.
-
-    The chosen edge of a position is kept by its index in ``edges``, 0 for a character without a piece.
-    """
+def best_edges(edges: Column) -> Column:
+    """Viterbi: the best edge into each position by its index in ``edges``, 0 for a character without a piece."""
     def blocked(v: Column) -> Column:
         """A merge across the border of ``v.a`` and ``v.b`` comes before those that made them."""
         at = v["b"]["s"]
@@ -202,7 +203,12 @@ def viterbi(n: Column, edges: Column, word: Column) -> Column:
 
     empty = F.array().cast("array<int>")
     numbered = F.transform(edges, lambda x, i: F.struct((i + 1).alias("i"), x.alias("edge")))
-    chosen = F.aggregate(numbered, empty, step)
+    return F.aggregate(numbered, empty, step)
+
+
+def ids_along(n: Column, edges: Column, word: Column, chosen: Column) -> Column:
+    """Ids of the path that ends at the last position, followed back over the chosen edges."""
+    empty = F.array().cast("array<int>")
 
     def back(state: Column, i: Column) -> Column:
         """Over the chosen edges from the last position down; ``p`` is the position still to be explained."""
@@ -218,43 +224,45 @@ def viterbi(n: Column, edges: Column, word: Column) -> Column:
     return F.aggregate(places, F.struct(n.alias("p"), empty.alias("ids")), back)["ids"]
 
 
-def _long(table: tuple):
-    lookup = {p: (i, r, t, h) for p, i, r, t, h in table}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [fold_long(w, lookup) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("places"), pa.array(ids, pa.list_(pa.int32()))], names=["places", "ids"])
-
-    return run
-
-
 def encode_words(words: DataFrame, model: str) -> DataFrame:
-    """(places, ids) of ``words(word, places)``; an unknown character c is -code point."""
-    spark, table = words.sparkSession, piece_table(model)
-    pieces = spark.createDataFrame(
+    """(places, ids, word) of ``words(word, places)``; an unknown character c is -code point.
+
+    A very long word has no ids yet and comes with its text; other words come without.
+    """
+    table = piece_table(model)
+    pieces = words.sparkSession.createDataFrame(
         [(p, i, r, list(t), list(h)) for p, i, r, t, h in table],
         "piece string, id int, rank int, tails array<int>, heads array<int>")
-    short = lattice(words.filter(F.length("word") <= LONG), pieces, max(len(p) for p, *_ in table))
-    short = short.select("places", viterbi(F.col("n"), F.col("edges"), F.col("word")).alias("ids"))
-    long = words.filter(F.length("word") > LONG).select("word", "places").mapInArrow(
-        _long(table), "places array<struct<part:int,code:int>>, ids array<int>")
-    return short.unionByName(long)
+    short = F.col("n") <= LONG
+    found = lattice(words, pieces, max(len(p) for p, *_ in table)).withColumn(
+        "chosen", F.when(short, best_edges(F.col("edges"))))
+    return found.select(
+        "places", F.when(short, ids_along(F.col("n"), F.col("edges"), F.col("word"), F.col("chosen"))).alias("ids"),
+        F.when(~short, F.col("word")).alias("word"))
+
 
+def _joined(model: str):
+    zero = byte_id(model)
 
-def _joined(zero: int):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         code = words.column("code").to_numpy()
-        lists = words.column("ids").combine_chunks()
-        flat, edges = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        lists = pa.concat_arrays([c.cast(pa.list_(pa.int32())) for c in words.column("ids").chunks] or [pa.array([], pa.list_(pa.int32()))])
+        flat, length = lists.flatten().to_numpy(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        start = np.cumsum(length) - length
+        at = np.flatnonzero(pc.is_valid(words.column("word")).to_numpy())
+        if len(at):  # very long words are folded here
+            lookup = {p: (i, r, t, h) for p, i, r, t, h in piece_table(model)}
+            more = [fold_long(words.column("word")[int(k)].as_py(), lookup) for k in at]
+            sizes = np.array([len(x) for x in more])
+            start[at], length[at] = len(flat) + np.cumsum(sizes) - sizes, sizes
+            flat = np.concatenate([flat, *(np.array(x, np.int32) for x in more)])
         place = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int64)
         place[code] = np.arange(len(code))
         out = []
         for codes in docs.column("codes").to_pylist():
             at = place[np.frombuffer(codes, np.int32)]
-            begin, length = edges[at], edges[at + 1] - edges[at]
-            before = np.concatenate([[0], np.cumsum(length)])
-            ids = flat[np.repeat(begin - before[:-1], length) + np.arange(before[-1])]
+            before = np.concatenate([[0], np.cumsum(length[at])])
+            ids = flat[np.repeat(start[at] - before[:-1], length[at]) + np.arange(before[-1])]
             if (ids < 0).any():  # characters the model lacks, byte by byte
                 ids = np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else [zero + b for b in chr(-i).encode()])], np.int32)
             out.append(ids.astype("<u4").tobytes())
@@ -269,9 +277,9 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     rows = rows.coalesce(max(1, rows.rdd.getNumPartitions() // SPLITS))
     words = rows.mapInArrow(_vocabulary, "part int, code int, word string").groupBy("word").agg(
         F.collect_list(F.struct("part", "code")).alias("places"))
-    found = encode_words(words, model).select(F.explode("places").alias("p"), "ids").select("p.part", "p.code", "ids")
+    found = encode_words(words, model).select(F.explode("places").alias("p"), "ids", "word").select("p.part", "p.code", "ids", "word")
     coded = rows.mapInArrow(_documents, "part int, doc_id long, codes binary")
-    return coded.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_joined(byte_id(model)), "doc_id long, ids binary")
+    return coded.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_joined(model), "doc_id long, ids binary")
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
