@@ -10,6 +10,9 @@ from ..session import materialize
 
 _VERDICT = "struct<prediction:string,analysis:string>"
 
+# letters of a literal's end that a word is looked up by
+TAIL = 4
+
 
 def _parsed(text: Column) -> Column:
     """The JSON object spanning the first ``{`` to the last ``}``; null unless strictly valid.
@@ -126,12 +129,15 @@ def feedback_lookup(
         "template", "seq", "score", F.explode(F.array_distinct(F.split("template", " "))).alias("word")
     )
     anchored = patterns.filter(F.col("word").isNotNull()).join(words, "word")
-    # without such a word, every literal ends some word of the string: join on the last letter
+    # without such a word, every literal ends some word of the string: join on the last letters, as
+    # many as the literal has, up to four
+    ends = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.lit(TAIL)), lambda k: F.right("word", k)))
     tailed = (
         patterns.filter(F.col("word").isNull() & F.col("literal").isNotNull())
-        .withColumn("tail", F.expr("right(literal, 1)"))
+        .withColumn("tail", F.expr(f"right(literal, {TAIL})"))
         .join(
-            words.withColumn("tail", F.expr("right(word, 1)"))
+            words.filter("word <> ''").withColumn("tail", F.explode(ends))
             .select("template", "seq", "score", "tail").distinct(),
             "tail",
         )
