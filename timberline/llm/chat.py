@@ -15,7 +15,6 @@ is a transcript of its own; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
