@@ -44,14 +44,23 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = ids.copy()
         ids[escape_at] = 0
     n = len(ids)
-    best = np.full(n, len(SELECTORS) - 1, np.int64)
+    # bits of every id, and for a selector the most of the ids it would take, by maxima over powers of two
+    bits_of = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    for k in np.flatnonzero(ids >= np.uint64(1 << 53)):
+        bits_of[k] = int(ids[k]).bit_length()
+    most = {1: bits_of}
+    while 2 * max(most) <= n:
+        p = max(most)
+        most[2 * p] = np.maximum(most[p][:-p], most[p][p:])
+    best = np.full(n, len(SELECTORS) - 1, np.uint8)
     for selector in range(len(SELECTORS) - 2, -1, -1):
         count, bits = SELECTORS[selector]
         if count > n:
             continue
-        large = np.concatenate([[0], np.cumsum(ids >> np.uint64(bits) != 0)])
-        fits = np.flatnonzero(large[count:] == large[:n - count + 1])
-        best[fits] = selector
+        p = 1 << (count.bit_length() - 1)
+        first = n - count + 1
+        fits = np.maximum(most[p][:first], most[p][count - p:count - p + first]) <= bits
+        best[:first][fits] = selector
     counts = np.array([c for c, _ in SELECTORS])
     step, at, i = counts[best].tolist(), [], 0
     while i < n:

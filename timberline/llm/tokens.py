@@ -9,16 +9,21 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words and ids a worker remembers; beyond that it forgets all and starts again (results do not change).
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 300_000
 MEMORY_IDS = 8_000_000
 END_ID = 2
 
+#: Letters of the Latin-1 block and marks after them: lower-cased letter by letter, never composed, and
+#: cut by the tokenizer between the two.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
 
 class WordEncoder:
     def __init__(self, path: str):
@@ -30,6 +35,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {"": []}
         self.start = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -40,12 +46,20 @@ class WordEncoder:
             new = words
         if not new:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        found = self._encoded(new)
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
         ends = self.start[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)
         self.start = np.concatenate([self.start, ends])
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32)])
 
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        """Ids of words; plain ones go through their lower-case letters and their marks, which many share."""
+        split = [_PLAIN.fullmatch(w) for w in words]
+        parts = [(m[1].lower(), m[2]) if m else (w, "") for w, m in zip(words, split)]
+        new = list({p for pair in parts for p in pair if p} - self.parts.keys())
+        self.parts.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        return [self.parts[a] + self.parts[b] if b else self.parts[a] for a, b in parts]
+
     def encode(self, texts: pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, where each text starts), each text closed by ``end``."""
         parts = pc.split_pattern(texts, " ")
