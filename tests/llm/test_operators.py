@@ -123,6 +123,22 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert len(clean) == 260 and notice not in clean[0] and len(clean[0].split()) == 60
 
 
+def test_copies_do_not_hide_boilerplate(spark):
+    rng = random.Random(3)
+    footer = "all rights reserved by the owners of this site and of its parts"
+    article = "\n".join(prose(25, rng) for _ in range(6))
+    rows = [(i, f"{article}\n{footer}", "third") for i in range(50)]
+    rows += [(100 + i, f"{prose(60, rng)}\n{footer}", "third") for i in range(100)]
+    shared = [prose(20, rng) for _ in range(17)]
+    rows += [(1000 + i, "\n".join([*shared, *(prose(20, rng) for _ in range(3))]), "shared") for i in range(60)]
+    articles = ["\n".join(prose(25, rng) for _ in range(4)) for _ in range(25)]
+    rows += [(2000 + i, f"{articles[i % 25]}\n{footer}", "copied") for i in range(25 * 24)]
+    got = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].kept and got[i].lost_words == 13 for i in [*range(50), *range(100, 200)])
+    assert all(not got[1000 + i].kept and got[1000 + i].lost_words == 340 for i in range(60))
+    assert all(got[2000 + i].kept and got[2000 + i].lost_words == 13 for i in range(600))
+
+
 # ---------------------------------------------------------------- classifier
 
 def test_factorisation_machine_identity():

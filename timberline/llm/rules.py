@@ -1,15 +1,22 @@
 """Quality rules: per-document counts and cross-document line frequency.
 
-One pass over the texts gives each document's counts, the hashes of its normalised lines and a
-sketch (the least hash of its three-word runs). A line is boilerplate of its host when more than
-``max_docs`` distinct documents of the host have it *and* these are really different documents: their
-effective number, (sum n)^2 / sum n^2 over the sketches, is above the limit too. So the lines of an
-article copied a thousand times, exactly or with small edits, are no boilerplate, whatever the
-number of copies: copies are left to deduplication. Boilerplate lines are removed; a document that
-keeps less than ``min_share`` of its words is depleted and rejected.
-
-Counting is two aggregations on (host, line, sketch) and (host, line), combined before each shuffle;
-texts are not shuffled, only 24 bytes a line.
+A line is boilerplate of its host when more than ``max_docs`` distinct documents of the host have it
+*and* these are of more than ``max_docs`` classes of copies. A class counts once whatever its size, so
+copies neither make a line boilerplate nor keep other documents from doing so; they are left to
+deduplication. The classes are found among the documents with a line in more than ``max_docs``
+documents (a frequent line):
+
+- Own content are the lines that are neither frequent nor an edited frequent line, that is half or more
+  of their least ``RUNS`` runs of three words are among those of the host's frequent lines. One edit
+  touches three runs, so a line with one edit always counts as edited, if it has eight words or more.
+- With ``OWN_SHARE`` of its words own or more, a document's class is the least run of its own content.
+- With less it is a copy, and its class is its least common line: the run that half of the line's runs
+  are at least as common as. Edits take that line out of few copies, so the classes of an article's
+  copies hardly grow with their number.
+
+Boilerplate lines are removed; a document that keeps less than ``min_share`` of its words is depleted
+and rejected. Counts are combined before each shuffle; texts are not shuffled, only hashes of lines and,
+for documents with a frequent line, of runs.
 
 Defined results: a null or empty text has no words and fails the base rules; a null host is a host
 of its own; rows that repeat an id are judged each by all lines of that id; a null doc_id is judged
@@ -34,10 +41,12 @@ from timberline.session import materialize
 from .tables import fresh
 from .words import Words, inside, slices, sums, texts_of, windows
 
-#: A line in more (effective) documents of a host than this is boilerplate.
+#: A line in more documents and classes of copies of a host than this is boilerplate.
 MAX_DOCS = 20
 #: Share of its words that a document must keep.
 MIN_SHARE = 0.2
+#: A document with a smaller share of own words is a copy; least runs kept of a line.
+OWN_SHARE, RUNS = 0.05, 6
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
@@ -45,7 +54,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 PROFILE = (
     "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, sketch long, lines array<struct<line:long,words:long>>"
+    "n_repeat_words long, digest long, lines array<struct<line:long,words:long,runs:array<int>>>"
 )
 
 
@@ -65,14 +74,28 @@ def repeat_words(words: Words, hashes: np.ndarray, size: int = REPEAT_WINDOW) ->
     return sums(covered.astype(np.int64), words.starts)
 
 
-def sketches(words: Words, hashes: np.ndarray, size: int = 3) -> np.ndarray:
-    """Least hash of the runs of ``size`` words of each text; of all its words if there are fewer."""
-    out = np.zeros(len(words.starts) - 1, np.uint64)
-    flat = hashes[words.codes]
-    for k, (a, b) in enumerate(zip(words.starts[:-1], words.starts[1:])):
-        if b > a:
-            out[k] = windows(flat[a:b], min(size, b - a)).min()
-    return out.view(np.int64)
+def least_runs(lines: list[str], keep: int = RUNS, size: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The ``keep`` least distinct hashes (32 bits) of the runs of ``size`` words of each line, and where each line's begin.
+
+    A line of fewer words is one run.
+    """
+    words = Words(pa.array(lines, pa.large_string()))
+    flat, count = words.hashes()[words.codes], words.counts
+    owner = words.owners()[:max(len(flat) - size + 1, 0)]
+    ok = inside(words.starts, size)
+    runs, owner = windows(flat, size)[ok], owner[ok]
+    few = np.flatnonzero((count > 0) & (count < size))
+    short = [windows(flat[a:b], b - a) for a, b in zip(words.starts[few], words.starts[few + 1])]
+    runs = (np.concatenate([runs, *short]) >> np.uint64(32)).astype(np.uint32)
+    owner = np.concatenate([owner, few])
+    order = np.lexsort((runs, owner))
+    runs, owner = runs[order], owner[order]
+    new = np.ones(len(runs), bool)
+    new[1:] = (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])
+    runs, owner = runs[new], owner[new]
+    first = np.searchsorted(owner, np.arange(len(lines)))
+    small = np.arange(len(runs)) - first[owner] < keep
+    return runs[small].view(np.int32), np.searchsorted(owner[small], np.arange(len(lines) + 1))
 
 
 def normal_line(line: str) -> str:
@@ -84,9 +107,9 @@ def line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(normal_line(line).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _lines(text: str) -> tuple[list[dict], int]:
-    """Hashed lines that have a word, each with its words, and the number that equal an earlier one."""
-    seen, out, dup = {}, {}, 0
+def _lines(text: str) -> tuple[dict[int, int], list[str], int]:
+    """Words of each hashed line that has one, the lines in normal form, and how many equal an earlier line."""
+    seen, out, normal, dup = {}, {}, [], 0
     for line in text.split("\n"):
         n = sum(1 for w in _SPACE.split(line) if w)
         if not n:
@@ -95,8 +118,10 @@ def _lines(text: str) -> tuple[list[dict], int]:
             dup += 1
         else:
             seen[line] = line_hash(line)
+            if seen[line] not in out:
+                normal.append(normal_line(line))
         out[seen[line]] = out.get(seen[line], 0) + n
-    return [{"line": h, "words": n} for h, n in out.items()], dup
+    return out, normal, dup
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,34 +132,84 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         python = texts.to_pylist()
         lines = [_lines(t) for t in python]
         symbols = [sum(map(t.count, SYMBOLS)) for t in python]
+        runs, starts = least_runs([x for _, normal, _ in lines for x in normal])
+        each = pa.StructArray.from_arrays([
+            pa.array([h for out, _, _ in lines for h in out], pa.int64()),
+            pa.array([n for out, _, _ in lines for n in out.values()], pa.int64()),
+            pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(runs, pa.int32())),
+        ], names=["line", "words", "runs"])
+        edges = np.concatenate([[0], np.cumsum([len(out) for out, _, _ in lines])])
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), batch.column("host"), pa.array(words.counts, pa.int64()),
             pa.array(words.per_text(words.lengths), pa.int64()), pa.array(symbols, pa.int64()),
-            pa.array([d for _, d in lines], pa.int64()), pa.array(repeat_words(words, hashes), pa.int64()),
-            pa.array(sketches(words, hashes), pa.int64()),
-            pa.array([x for x, _ in lines], pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))),
+            pa.array([d for _, _, d in lines], pa.int64()), pa.array(repeat_words(words, hashes), pa.int64()),
+            batch.column("digest"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), each),
         ], names=[c.split()[0] for c in PROFILE.split(", ")])
 
 
+#: Stands for a null doc_id inside the jobs.
+_NO_ID = -(1 << 63)
+
+
+def _digest(host: F.Column) -> F.Column:
+    """With the id, names a row; equal rows share it."""
+    return F.xxhash64(F.col("doc_id").isNull(), "text", host)
+
+
 def profiles(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Counts, sketch and hashed lines of every document, written once."""
+    """Counts and hashed lines of every document, written once."""
+    name = F.coalesce(F.col(host), F.lit(""))
     rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"),
-        F.coalesce(F.col(host), F.lit("")).alias("host"))
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), name.alias("host"),
+        _digest(name).alias("digest"))
     return materialize(rows.mapInArrow(_profile, PROFILE), "profiles")
 
 
-def boilerplate(profile: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """Lines above the limits: (host, line, n_docs, n_effective)."""
-    lines = profile.select("doc_id", "host", "sketch", F.explode("lines").alias("l"))
+def _exploded(profile: DataFrame) -> DataFrame:
+    return profile.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "digest", "host", "n_words", F.explode("lines").alias("l")).select(
+        "doc", "digest", "host", "n_words", F.col("l.line").alias("line"), F.col("l.words").alias("words"), F.col("l.runs").alias("runs"))
+
+
+def copy_classes(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(doc, digest, class) of the documents whose lines are ``rows``, given the host's ``frequent`` lines."""
+    runs = materialize(rows.select("host", "line", F.size("runs").alias("n"), F.explode("runs").alias("run")).distinct(), "runs")
+    common = runs.join(frequent.hint("merge"), ["host", "line"]).groupBy("host", "run").agg(F.sum("n_docs").alias("freq"))
+    ranked = runs.join(common.hint("merge"), ["host", "run"]).groupBy("host", "line", "n").agg(
+        F.sort_array(F.collect_list(F.struct("freq", "run")), False).alias("f")).filter(2 * F.size("f") >= F.col("n"))
+    level = ranked.select("host", "line", F.element_at("f", F.ceil(F.col("n") / 2).cast("int")).alias("level"))
+    own = F.col("level").isNull()
     return (
-        lines.groupBy("host", F.col("l.line").alias("line"), "sketch").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("host", "line")
-        .agg(F.sum("n").alias("n_docs"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
-        .withColumn("n_effective", F.col("n_docs").cast("double") * F.col("n_docs") / F.col("squares"))
-        .filter((F.col("n_docs") > max_docs) & (F.col("n_effective") > max_docs))
-        .select("host", "line", "n_docs", "n_effective")
+        rows.select("doc", "digest", "host", "n_words", "line", "words", F.col("runs")[0].alias("least"))
+        .join(level.hint("merge"), ["host", "line"], "left")
+        .groupBy("doc", "digest").agg(
+            F.sum(F.when(own, F.col("words")).otherwise(0)).alias("own"), F.max("n_words").alias("n_words"),
+            F.min(F.when(own, F.col("least"))).alias("least"), F.min("level").alias("level"))
+        .select("doc", "digest", F.when(
+            (F.col("own") > 0) & (F.col("own") >= F.lit(OWN_SHARE) * F.col("n_words")), F.col("least").cast("long"))
+            .otherwise(F.col("level.run") + F.lit(1 << 32)).alias("class"))
+    )
+
+
+def frequent_lines(profile: DataFrame, max_docs: int = MAX_DOCS) -> tuple[DataFrame, DataFrame]:
+    """Lines in more than ``max_docs`` documents of a host, each time they occur, and those that are boilerplate.
+
+    The first are (doc, digest, host, line, words), the second (host, line, n_docs, n_classes).
+    """
+    lines = _exploded(profile)
+    frequent = materialize(
+        lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > max_docs), "frequent")
+    hits = materialize(
+        lines.select("doc", "digest", "host", "line", "words").join(frequent.select("host", "line").hint("merge"), ["host", "line"]), "hits")
+    touched = hits.select("doc", "digest").distinct()
+    keyed = profile.withColumn("doc", F.coalesce("doc_id", F.lit(_NO_ID)))
+    rows = materialize(_exploded(keyed.join(touched.hint("merge"), ["doc", "digest"], "left_semi")), "touched")
+    classes = copy_classes(rows, frequent)
+    counted = (
+        hits.select("doc", "digest", "host", "line").join(classes.hint("merge"), ["doc", "digest"])
+        .select("host", "line", "class").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_classes"))
+        .filter(F.col("n_classes") > max_docs)
     )
+    return hits, materialize(counted.join(frequent, ["host", "line"]).select("host", "line", "n_docs", "n_classes"), "boilerplate")
 
 
 def quality_rules(
@@ -142,17 +217,15 @@ def quality_rules(
 ) -> DataFrame:
     """Counts and verdict of every document, with the hashes of the lines to remove."""
     profile = profiles(docs, host)
-    hot = materialize(boilerplate(profile, max_docs), "boilerplate")
+    hits, hot = frequent_lines(profile, max_docs)
     lost = (
-        profile.select("doc_id", "host", F.explode("lines").alias("l"))
-        .select("doc_id", "host", F.col("l.line").alias("line"), F.col("l.words").alias("words"))
-        .join(hot.select("host", "line").hint("merge"), ["host", "line"])
-        .groupBy("doc_id").agg(F.sum("words").alias("lost_words"), F.collect_set("line").alias("removed_lines"))
+        hits.filter(F.col("doc") != _NO_ID).join(hot.select("host", "line").hint("merge"), ["host", "line"])
+        .groupBy(F.col("doc").alias("doc_id")).agg(F.sum("words").alias("lost_words"), F.collect_set("line").alias("removed_lines"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("lost_words", F.lit(0))
     return (
-        profile.drop("lines", "sketch", "host").join(lost.hint("merge"), "doc_id", "left")
+        profile.drop("lines", "digest", "host").join(lost.hint("merge"), "doc_id", "left")
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (left >= F.lit(min_share) * F.col("n_words")))
         .withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
