@@ -430,6 +430,30 @@ def test_a_conversation_over_many_blocks(spark, monkeypatch):
     assert [(r.turn_no, r.text) for r in got] == [(t, f"word number {t}.") for t in range(600)]
 
 
+def test_long_turns_are_decoded_in_order(spark):
+    rng = random.Random(12)
+    named = [f"{('User', 'Assistant')[t % 2]}: " if t % 3 == 0 else "" for t in range(10000)]
+    texts = [mark + prose(rng.randint(3, 12), rng).capitalize() + rng.choice(".?") for mark in named]
+    rows = [(1, (5 << 20) + n, x) for n, x in enumerate(texts)] + [(2, n, x) for n, x in enumerate(texts)]
+    rows += [(3, 7, x) for x in texts[:5000]] + [(4, 0, "User: hi"), (4, 1, "Assistant: ho")]
+    fitted = [(9, t << 20, f"{('User', 'Assistant')[t % 2]}: word number {t}.", ("user", "assistant")[t % 2], True) for t in range(50)]
+    fitted += [(9, (t << 20) + 1, "more of it.", ("user", "assistant")[t % 2], False) for t in range(50)]
+    model = chat.fit(spark.createDataFrame(fitted, "conv_id long, pos long, line string, role string, is_start boolean"))
+    got = {}
+    for r in chat.parse(spark.createDataFrame(rows, "conv_id long, pos long, line string"), model).orderBy("turn_no").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    for conv in (1, 2, 3, 4):
+        lines = [x for _, _, x in sorted(r for r in set(rows) if r[0] == conv)]
+        want = []
+        for line, state in zip(lines, chat.viterbi(model, model.emissions(lines), -1, -1)):
+            role, starts = chat.STATES[state]
+            if starts or not want:
+                want.append([role, chat.marker(line)[1] if starts else line])
+            else:
+                want[-1][1] = want[-1][1] + "\n" + line if want[-1][1] else line
+        assert got[conv] == [tuple(x) for x in want], conv
+
+
 def test_features_of_odd_texts():
     t = pa.array(["", "a", "\n\n", "!!! ###", "x" * 10000]).cast(pa.large_string())
     assert np.isfinite(fm.features(t)).all()

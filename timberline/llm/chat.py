@@ -35,7 +35,7 @@ SPEAKERS = {
 _ROLE = {name: r for r, names in SPEAKERS.items() for name in names}
 _MARK = re.compile(
     r"^\s*(?:[#*>\[<|\s]*)(" + "|".join(sorted(_ROLE, key=len, reverse=True)) + r")(?:\s*[\]>|*]+\s*:?|\s*:)\s*", re.IGNORECASE)
-#: Positions of a block, and rows after which a block is cut finer.
+#: Positions of a block (256 turns), and the rows it is cut into where it has more.
 SPAN_BITS, BLOCK_ROWS = 28, 4096
 
 
@@ -154,18 +154,24 @@ _NO_ID = -(1 << 63)
 
 
 def blocks_of(lines: DataFrame) -> DataFrame:
-    """Distinct lines with their block (b1, b2, b3): 256 turns, cut to single turns and by text where larger."""
+    """Distinct lines with their block (b1, b2), in the order of position and text: 256 turns, cut where larger.
+
+    Lines of larger blocks are sorted over all tasks, and every ``BLOCK_ROWS`` of a task make a block.
+    """
     rows = lines.select(
         F.coalesce("conv_id", F.lit(_NO_ID)).alias("conv_id"), F.coalesce("pos", F.lit(-1)).cast("long").alias("pos"),
         F.coalesce("line", F.lit("")).alias("line")).distinct()
-    rows = rows.withColumns({"b1": F.shiftright("pos", SPAN_BITS), "turn": F.shiftright("pos", 20)})
-    counts = rows.groupBy("conv_id", "b1", "turn").agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.groupBy("conv_id", "b1").agg(F.sum("n").alias("all")).filter(F.col("all") > BLOCK_ROWS)
-    large = counts.join(whole, ["conv_id", "b1"]).select("conv_id", "b1", "turn", "n")
-    rows = rows.join(large, ["conv_id", "b1", "turn"], "left")
-    return rows.select(
-        "conv_id", "pos", "line", "b1", F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.col("turn")).alias("b2"),
-        F.coalesce(F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / BLOCK_ROWS)), F.lit(0)).alias("b3"))
+    rows = rows.withColumn("b1", F.shiftright("pos", SPAN_BITS))
+    large = materialize(
+        rows.groupBy("conv_id", "b1").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_ROWS).select("conv_id", "b1"), "large")
+    if large.isEmpty():
+        return rows.withColumn("b2", F.lit(0).cast("long"))
+    cut = rows.join(large.hint("merge"), ["conv_id", "b1"], "left_semi").select("conv_id", "pos", "line", "b1")
+    cut = cut.repartitionByRange("conv_id", "pos", "line").sortWithinPartitions("conv_id", "pos", "line")
+    # the id goes up along the sorted rows, and each task's begin at a multiple of 2^33
+    cut = cut.withColumn("b2", F.expr(f"monotonically_increasing_id() div {BLOCK_ROWS}"))
+    rest = rows.join(large.hint("merge"), ["conv_id", "b1"], "left_anti").select("conv_id", "pos", "line", "b1")
+    return rest.withColumn("b2", F.lit(0).cast("long")).unionByName(cut)
 
 
 def _rows(block: pa.Table) -> list[dict]:
@@ -174,7 +180,7 @@ def _rows(block: pa.Table) -> list[dict]:
 
 def parse(lines: DataFrame, model: Model) -> DataFrame:
     """(conv_id, turn_no, role, text, rendered) of every recovered turn of ``lines(conv_id, pos, line)``."""
-    keys = ["conv_id", "b1", "b2", "b3"]
+    keys = ["conv_id", "b1", "b2"]
     rows = materialize(blocks_of(lines), "lines")
 
     def edges(key: tuple, block: pa.Table) -> pa.Table:
@@ -183,7 +189,7 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
                         schema=pa.schema([(k, pa.int64()) for k in keys] + [("m", pa.list_(pa.float64()))]))
 
     def chained(key: tuple, blocks: pa.Table) -> pa.Table:
-        order = sorted(blocks.to_pylist(), key=lambda r: (r["b1"], r["b2"], r["b3"]))
+        order = sorted(blocks.to_pylist(), key=lambda r: (r["b1"], r["b2"]))
         found = chain([np.array(r["m"]).reshape(len(STATES) + 1, len(STATES)) for r in order])
         return pa.table({**{k: pa.array([r[k] for r in order], pa.int64()) for k in keys},
                          "enter": pa.array([a for a, _ in found], pa.int64()), "leave": pa.array([b for _, b in found], pa.int64())})
@@ -212,12 +218,12 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
     known = rows.join(ends.hint("merge"), keys)
     parts = materialize(known.groupBy(*keys).applyInArrow(decoded, schema + ", part long, role string, starts boolean, text string"), "parts")
     # a block that opens inside a turn goes on with the turn before
-    w = Window.partitionBy("conv_id").orderBy("b1", "b2", "b3").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("conv_id").orderBy("b1", "b2").rowsBetween(Window.unboundedPreceding, -1)
     before = parts.groupBy(*keys).agg(F.sum(F.col("starts").cast("long")).alias("n"), F.min(F.when(F.col("part") == 0, F.col("starts").cast("long"))).alias("opens"))
     before = before.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
     numbered = parts.join(before.hint("merge"), keys).withColumn("turn_no", F.col("before") + F.col("part") + F.col("opens") - 1)
     turns = numbered.groupBy("conv_id", "turn_no").agg(
-        F.max("role").alias("role"), F.sort_array(F.collect_list(F.struct("b1", "b2", "b3", "part", "text"))).alias("t"))
+        F.max("role").alias("role"), F.sort_array(F.collect_list(F.struct("b1", "b2", "part", "text"))).alias("t"))
     text = F.array_join(F.transform("t", lambda x: x["text"]), "\n")
     return turns.select(F.when(F.col("conv_id") != _NO_ID, F.col("conv_id")).alias("conv_id"), "turn_no", "role", text.alias("text"),
                         F.concat(F.lit("<|"), "role", F.lit("|>\n"), text, F.lit("\n<|end|>")).alias("rendered"))
