@@ -2,10 +2,13 @@ import json
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
+from timberline.functions.patterns import WILDCARD
 from timberline.functions.text import tokenize_line
 from timberline.operators.bayes import nb_fit, nb_score
 from timberline.operators.positions import assign_line_id
+from timberline.plans.detector import fit_detector, joined_template
 from timberline.plans.prepare import prepare_dataset
 from timberline.session import scratch_path, shared_dir
 from timberline.sources import logs as L
@@ -129,6 +132,23 @@ def test_stream_update_tests_then_trains(spark, labelled):
     assert spark.read.parquet(scores).select("batch_id").distinct().count() == 2
 
 
+def test_streams_take_the_templates_of_a_detector(spark):
+    rows = [(i, f"server node closed link {'abcdefg'[i % 7] * 3} {'badly' if i % 5 == 0 else 'today'}", int(i % 5 == 0)) for i in range(60)]
+    lines = spark.createDataFrame(rows, "line_id long, content string, label int")
+    detector, _ = fit_detector(lines)
+    docs = lines.select("line_id", "label").join(joined_template(lines, detector), "line_id")
+    assert docs.filter(F.array_contains("tokens", WILDCARD)).count()
+    sink, path = scratch_path(spark, "sink"), scratch_path(spark, "model")
+    J.stream_score(_source(spark, lines, "in"), detector.counts, sink, scratch_path(spark, "ck"), detector=detector).awaitTermination()
+    columns = ["line_id", "score_0", "score_1", "prediction"]
+    got = {r["line_id"]: r for r in spark.read.parquet(sink).select(columns).collect()}
+    want = nb_score(docs, detector.counts).select(columns).collect()
+    assert len(got) == len(want) == 60
+    assert all(got[r["line_id"]]["prediction"] == r["prediction"] and got[r["line_id"]]["score_0"] == pytest.approx(r["score_0"]) for r in want)
+    J.stream_update(_source(spark, lines, "in"), path, scratch_path(spark, "ck"), detector=detector).awaitTermination()
+    assert sorted(map(tuple, J.load_counts(spark, path).ngram_counts.collect())) == sorted(map(tuple, nb_fit(docs).ngram_counts.collect()))
+
+
 def test_stream_windows_drop_late_lines(spark, tmp_path):
     base = datetime(2024, 1, 1, tzinfo=timezone.utc)
     batches = [[(0, 0), (1, 1)], [(30, 0)], [(31, 0)], [(2, 1)], [(90, 0)]]

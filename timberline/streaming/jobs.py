@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import tokenize_line
 from ..operators.bayes import NgramCounts, add_counts, build_scorer, nb_fit, nb_score
+from ..plans.detector import Detector, joined_template
 from ..session import path_exists
 
 
@@ -21,25 +22,32 @@ def _start(
     return writer.start()
 
 
-def _docs(lines: DataFrame) -> DataFrame:
-    return lines.select("line_id", "label", tokenize_line("content").alias("tokens"))
+def _docs(lines: DataFrame, detector: Detector | None = None) -> DataFrame:
+    """Tokens of the template each line joins, of the line itself without a detector."""
+    if detector is None:
+        return lines.select("line_id", "label", tokenize_line("content").alias("tokens"))
+    lines = lines.persist()
+    return lines.select("line_id", "label").join(joined_template(lines, detector), "line_id")
 
 
 def stream_score(
-    stream: DataFrame, model: NgramCounts, sink: str, checkpoint: str, once: bool = True
+    stream: DataFrame, model: NgramCounts, sink: str, checkpoint: str, once: bool = True,
+    detector: Detector | None = None,
 ) -> StreamingQuery:
     """Score arriving lines ``(line_id, content, label)`` with fixed counts.
 
+    With a ``detector`` a line is scored as the frozen template it joins; its heads are further columns.
     A micro-batch writes its own folder of ``sink``, so a replay replaces its rows.
     """
     scorer = build_scorer(model)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        docs = _docs(batch).persist()
+        docs = _docs(batch, detector).persist()
         docs.select("line_id", "label").join(nb_score(docs, scorer), "line_id").write.mode(
             "overwrite"
         ).parquet(f"{sink}/batch_id={batch_id}")
         docs.unpersist()
+        batch.unpersist()
 
     return _start(stream, each, checkpoint, once)
 
@@ -51,15 +59,17 @@ def stream_update(
     base: NgramCounts | None = None,
     scores: str | None = None,
     once: bool = True,
+    detector: Detector | None = None,
 ) -> StreamingQuery:
     """Test, then train: score a micro-batch with the counts so far, then add its own counts.
 
+    With a ``detector`` a line counts as the frozen template it joins; its heads are further columns.
     Counts are kept as one delta per batch id; a replayed batch overwrites its delta, and
     ``load_counts`` adds the deltas up.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        docs = _docs(batch).persist()
+        docs = _docs(batch, detector).persist()
         if scores:
             before = load_counts(batch.sparkSession, model_path, base, before=batch_id)
             if before is not None:
@@ -68,6 +78,7 @@ def stream_update(
         for name in ("class_counts", "ngram_counts"):
             getattr(delta, name).write.mode("overwrite").parquet(f"{model_path}/{name}/batch_id={batch_id}")
         docs.unpersist()
+        batch.unpersist()
 
     return _start(stream, each, checkpoint, once)
 
