@@ -149,6 +149,15 @@ def test_factorisation_machine_identity():
         assert got == pytest.approx(0.3 + row @ m.weight + pairs)
 
 
+def test_a_repeated_id_is_learnt_from_once(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"text of {i}") for i in range(20)] + [(1, f"again {i}") for i in range(300)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(fm, "fit", lambda x, y: seen.append((len(x), len(y))))
+    fm.train(d, spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int"))
+    n = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(20))
+    assert seen == [(n, n)]
+
+
 def test_classifier(spark, docs, empty):
     rng = random.Random(2)
     rows = [(i, prose(60, rng) if i % 2 else prose(60, rng).upper().replace(" ", "!! ")) for i in range(400)]

@@ -145,7 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     # one bounded top-k of hashed ids: a few numbers a row, combined in tasks
     chosen = known.join(docs.select(F.col("doc_id").alias("__id")).distinct(), "__id", "left_semi").orderBy(
         F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(chosen), "__id").select("text", "label")
+    # one row of a repeated id, that of the least text hash
+    rows = docs.select(F.col("doc_id").alias("__id"), "text").join(F.broadcast(chosen), "__id").groupBy("__id", "label").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label")
     got = rows.mapInArrow(_vectors, "label int, x binary").toPandas()
     if not len(got):
         return fit(np.zeros((0, WORD_BINS + STATS), np.float32), np.zeros(0))
