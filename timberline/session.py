@@ -60,6 +60,14 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    if "/timberline/" not in path:
+        raise ValueError(f"{path} is not below the scratch folder")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path of any file system Spark knows is there."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
