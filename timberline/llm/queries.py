@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact, fm, html, omh, packing, pieces, rules, s8b, urls
+from . import chat, counts, exact, fm, html, omh, packing, pieces, rules, s8b, search, urls
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_tokenizer() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
@@ -83,3 +87,17 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s8b.token_files(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = counts.token_counts(table(spark, sf_dir, "documents"), byte_tokenizer())
+    return found.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_ranked_search"] = search.SEARCH_SQL
