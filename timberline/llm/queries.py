@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, counts, exact, fm, html, omh, packing, pieces, rules, s8b, search, urls
+from . import chat, counts, exact, fm, html, omh, packing, pieces, rules, runs, s8b, search, urls
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s8b.token_files(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(runs.planted(table(spark, sf_dir, "documents"))))
+
+
 @query
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = counts.token_counts(table(spark, sf_dir, "documents"), byte_tokenizer())
