@@ -168,13 +168,39 @@ def mine_assignments(spark, sf):
     return M.mine_templates(I.lines(spark, sf), heads=["level"]).assignments.select("line_id", "label")
 
 
-@query("subsume_templates")
+# claims settled in rounds: of those without an owner the ones whose first match is an owner, or that have none
+_CLAIMS = f"""with recursive {I.TOKENS}, {_TEMPLATES},
+    ranked as materialized (select template_id, level, head, regex, array_to_string(tokens, ' ') txt,
+      row_number() over (order by -len(list_filter(tokens, lambda t: t = '<*>')), -len(tokens), template_id) r from templates),
+    -- patterns here begin with a word, so a match has the same one
+    pairs as materialized (select p.template_id p, t.template_id t, p.r r from ranked p join ranked t
+      on p.level = t.level and p.head is not distinct from t.head and p.r < t.r where regexp_matches(t.txt, p.regex)),
+    claims(template_id, claimant_id) using key (template_id) as (
+      select template_id, null::bigint from ranked
+      union
+      select c.template_id, coalesce(f.p, c.template_id) from recurring.claims c
+      left join (
+        select q.t, arg_min(q.p, q.r) p, arg_min(coalesce(s.claimant_id, -1), q.r) owner from pairs q
+        join recurring.claims s on s.template_id = q.p where s.claimant_id is null or s.claimant_id = s.template_id group by q.t) f
+        on f.t = c.template_id
+      where c.claimant_id is null and (f.t is null or f.owner >= 0))"""
+
+
+@query("subsume_templates", f"{_CLAIMS} select template_id, claimant_id from claims")
 def subsume_templates(spark, sf):
     templates = _templates(_tokens(spark, sf)).select("template_id", "group_key", "tokens")
     return M.subsume_templates(templates)
 
 
-@query("apply_template_delta")
+@query(
+    "apply_template_delta",
+    f"""{_CLAIMS}, merged as (select claimant_id template_id, count(*) size from claims group by claimant_id having count(*) > 1)
+    select r.template_id, r.level group_key, r.txt as template, 1::int size from ranked r join claims c using (template_id)
+      where c.claimant_id not in (select template_id from merged)
+    union all
+    select (select max(template_id) from ranked) + row_number() over (order by m.template_id), r.level, r.txt, m.size::int
+      from merged m join ranked r using (template_id)""",
+)
 def apply_template_delta(spark, sf):
     templates = materialize(
         _templates(_tokens(spark, sf)).select("template_id", "group_key", "tokens").withColumn("size", F.lit(1))
@@ -189,6 +215,17 @@ def apply_template_delta(spark, sf):
     return out.select("template_id", "group_key", F.array_join("tokens", " ").alias("template"), "size")
 
 
+@query("reinsert_templates")
+def reinsert_templates(spark, sf):
+    """The templates of every group in which one absorbed another, after they went through a new tree."""
+    templates = materialize(
+        _templates(_tokens(spark, sf)).select("template_id", "group_key", "tokens").withColumns(
+            {"size": F.lit(1).cast("long"), "label": F.lit(0)}))
+    claims = materialize(M.subsume_templates(templates))
+    _, found, _, _ = M.reinsert_templates(templates, claims)
+    return found.select("template_id", "group_key", F.array_join("tokens", " ").alias("template"), "size")
+
+
 @query("fit_detector")
 def fit_detector(spark, sf):
     detector, metrics = D.fit_detector(I.split_lines(spark, sf).filter("split = 'train'"))

@@ -152,27 +152,78 @@ def test_pieces_equal_pattern(spark):
         assert M._fits(text, M._pieces(" ".join(template))) == want
 
 
-@pytest.mark.parametrize("chunk", [3, 4096])
-def test_subsume_equals_ordered_pass(spark, chunk):
-    rng = random.Random(3)
-    rows = [
-        (i, rng.choice("xy"), rng.choices(["a", "b", "c", STAR], k=rng.randint(1, 4))) for i in range(120)
-    ]
-    df = spark.createDataFrame(rows, "template_id long, group_key string, tokens array<string>")
-    got = {r["template_id"]: r["claimant_id"] for r in M.subsume_templates(df, chunk).collect()}
-    want = {}
-    for group in "xy":
-        order = sorted(
-            (r for r in rows if r[1] == group), key=lambda r: (-r[2].count(STAR), -len(r[2]), r[0])
-        )
+def claims_in_order(rows):
+    """Claims of an ordered pass, and the claimants of each group in order."""
+    want, heads = {}, {}
+    for group in {r[1] for r in rows}:
+        order = sorted((r for r in rows if r[1] == group), key=lambda r: (-r[2].count(STAR), -len(r[2]), r[0]))
         for tid, _, tokens in order:
             if tid in want:
                 continue
             want[tid] = tid
+            heads.setdefault(group, []).append((tid, tokens))
             for other, _, others in order:
                 if other not in want and pattern(tokens).match(" ".join(others)):
                     want[other] = tid
-    assert got == want
+    return want, heads
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_subsume_equals_ordered_pass(spark, seed):
+    rng = random.Random(seed)
+    words = ["a", "b", "ab", "bab", STAR, STAR] if seed % 2 else ["a", "b", "c", STAR]
+    rows = [
+        (i, rng.choice("xy"), rng.choices(words, k=rng.randint(0, 6))) for i in range(160)
+    ]
+    df = spark.createDataFrame(rows, "template_id long, group_key string, tokens array<string>")
+    got = {r["template_id"]: r["claimant_id"] for r in M.subsume_templates(df).collect()}
+    assert got == claims_in_order(rows)[0]
+
+
+def test_claims_look_again(spark):
+    # the first matches the second and the second the third, but the first does not match the third
+    rows = [
+        (1, "g", ["a", STAR, "b", STAR, STAR, STAR]), (2, "g", ["a", STAR, STAR, "b", STAR]), (3, "g", ["a", "b", "x"]),
+        (4, "g", ["a", "b", "x"]), (5, "h", [STAR, STAR, "end"]), (6, "h", ["week", "weekend"]), (7, "h", ["weekend", "off"]),
+        (8, "i", []), (9, "i", []), (10, "i", [STAR]), (11, "i", [STAR, STAR]), (12, "i", ["x"]),
+    ]
+    df = spark.createDataFrame(rows, "template_id long, group_key string, tokens array<string>")
+    got = {r["template_id"]: r["claimant_id"] for r in M.subsume_templates(df).collect()}
+    assert got == claims_in_order(rows)[0]
+    assert (got[2], got[3], got[4], got[6], got[7]) == (1, 3, 3, 5, 7)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reinsertion_equals_ordered_insert(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i + 1, rng.choice("xyz"), rng.choices(["a", "b", "c", "d", "e", STAR], k=rng.randint(1, 6))) for i in range(90)]
+    rows += [(200, "alone", ["q", "r"]), (201, "alone", ["s"])]
+    sizes = {r[0]: rng.randint(1, 9) for r in rows}
+    df = spark.createDataFrame(
+        [(i, g, t, sizes[i], i % 2) for i, g, t in rows],
+        "template_id long, group_key string, tokens array<string>, size long, label int")
+    claims, heads = claims_in_order(rows)
+    changed, found, _, moved = M.reinsert_templates(df, M.subsume_templates(df), 2, 2, 0.5, last_seq=1000)
+    groups = {g for i, g, _ in rows if claims[i] != i}
+    assert {r[0] for r in changed.collect()} == groups and "alone" not in groups
+    miner, new_of = Miner(3, 2, 2, 0.5, []), {}
+    order = sorted(((-t.count(STAR), -len(t), i, g, t) for g in groups for i, t in heads[g]))
+    for place, (_, _, i, g, t) in enumerate(order, 1001):
+        new_of[i] = miner.add(place, t, group=g)[2]
+    want = {}
+    for root in miner.roots.values():
+        nodes = [root]
+        while nodes:
+            node = nodes.pop()
+            nodes += node.kids.values()
+            want.update({c["id"]: c["tokens"] for c in node.clusters})
+    got = {r["template_id"]: r for r in found.collect()}
+    assert {i: r["tokens"] for i, r in got.items()} == want
+    mapped = {i: new_of[claims[i]] for i, g, _ in rows if g in groups}
+    assert {r["template_id"]: r["new_id"] for r in moved.collect()} == mapped
+    for new, r in got.items():
+        assert r["size"] == sum(sizes[i] for i in mapped if mapped[i] == new)
+        assert r["label"] == max(i for i in mapped if mapped[i] == new) % 2
 
 
 def test_generalize_and_delta(spark):

@@ -19,8 +19,6 @@ from ..session import materialize
 from .grouping import group_key, prefix_path, vocab_counts
 from .positions import dense_position, id_cells
 
-# templates of one leaf travel in arrays of about this many
-TEMPLATES_PER_BLOCK = 128
 # lines of one leaf handled in order per round: first round, and the limit it grows to
 FIRST_CHUNK = 4096
 MAX_CHUNK = 1 << 18
@@ -34,17 +32,6 @@ def _similarity(text: Column, tokens: Column, template: Column) -> Column:
     )
 
 
-def _template_blocks(templates: DataFrame, leaf: Sequence[str], value: Column) -> DataFrame:
-    """Arrays of at most a few hundred templates per leaf; a wide leaf gets many rows."""
-    sizes = templates.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / TEMPLATES_PER_BLOCK).alias("_nb"))
-    return (
-        templates.join(sizes, list(leaf))
-        .withColumn("_block", F.pmod(F.xxhash64("template_id"), F.col("_nb")))
-        .groupBy(*leaf, "_block").agg(F.collect_list(value).alias("_templates"))
-        .drop("_block")
-    )
-
-
 def _prefix(ordered: Column, st: float) -> Column:
     """Tokens of which two lists of similarity ``st`` must have one in common."""
     size = F.size(ordered)
@@ -63,13 +50,44 @@ def _whole_words(tokens: Column) -> Column:
     )
 
 
+def _literals(tokens: Column | str) -> Column:
+    return F.filter(tokens, lambda t: t != WILDCARD)
+
+
+def _loose(templates: DataFrame) -> DataFrame:
+    """Templates whose pattern needs no whole word: every literal follows two wildcards, or there is none."""
+    return templates.filter((F.size("tokens") > 0) & (F.size(_whole_words(F.col("tokens"))) == 0))
+
+
+def _loose_pairs(texts: DataFrame, templates: DataFrame) -> DataFrame:
+    """Candidate ``(text_id, template_id)`` for loose patterns with a literal, by the ends of words.
+
+    ``texts(home, text_id, tokens)``, ``templates(home, template_id, tokens)``. Such a literal ends a
+    word of any text the pattern matches, so texts ask with the endings of their words, of the lengths
+    their home has literals of.
+    """
+    longest = F.array_max(F.transform(_literals("tokens"), lambda t: F.struct(F.length(t).alias("n"), t.alias("end"))))
+    ends = _loose(templates).select("home", "template_id", longest.alias("l")).filter("l is not null").select(
+        "home", "template_id", "l.n", "l.end")
+    wanted = ends.select("home", "n").distinct()
+    endings = F.transform(F.filter("tokens", lambda t: F.length(t) >= F.col("n")), lambda t: F.right(t, F.col("n")))
+    asking = texts.join(wanted, "home").select("home", "text_id", "n", F.explode(F.array_distinct(endings)).alias("end"))
+    return asking.join(ends, ["home", "n", "end"]).select("text_id", "template_id")
+
+
+def _open_templates(templates: DataFrame) -> DataFrame:
+    """Templates of wildcards only, which match every text but the empty one's neighbours by similarity."""
+    return _loose(templates).filter(F.size(_literals("tokens")) == 0)
+
+
 def _candidate_pairs(lines: DataFrame, templates: DataFrame, st: float) -> DataFrame:
     """Distinct ``(line_id, template_id)`` that can be similar; ``leaf`` is a hash of the leaf.
 
     A template waits under the tokens of which a line of similarity ``st`` must hold one: its rarest
     ones, by the number of templates of the leaf that hold them, so a token all of them share comes
-    last. It also waits under the rarest word its pattern needs; a pattern without such a word meets
-    all lines of its leaf. A line asks for each of its tokens once.
+    last. It also waits under the rarest word its pattern needs, and if it needs none, under the end of
+    a word. Of the templates of wildcards only, which match every line alike, a leaf's latest meets its
+    lines. A line asks for each of its tokens once.
     """
     rank = F.when(F.col("t") == WILDCARD, F.lit(1 << 60)).otherwise(F.col("n"))
     held = templates.select("leaf", "template_id", F.explode(F.array_distinct("tokens")).alias("t"))
@@ -78,12 +96,22 @@ def _candidate_pairs(lines: DataFrame, templates: DataFrame, st: float) -> DataF
         F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "t"))), lambda x: x["t"]).alias("ordered"))
     known = templates.join(ranked, "template_id", "left").withColumn(
         "ordered", F.coalesce("ordered", F.array().cast("array<string>")))
-    words = F.array_intersect("ordered", _whole_words(F.col("tokens")))
-    word = F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(F.slice(words, 1, 1))
+    word = F.slice(F.array_intersect("ordered", _whole_words(F.col("tokens"))), 1, 1)
+    # empty templates and empty lines meet under the empty word
+    word = F.when(F.size("tokens") == 0, F.array(F.lit(""))).otherwise(word)
     waiting = known.select(
         "leaf", "template_id", F.explode(F.array_union(_prefix(F.col("ordered"), st), word)).alias("t"))
-    asking = lines.select("leaf", "line_id", F.explode(F.array_union(F.array(F.lit("")), F.col("tokens"))).alias("t"))
-    return asking.join(waiting, ["leaf", "t"]).select("line_id", "template_id").distinct()
+    asks = F.when(F.size("tokens") == 0, F.array(F.lit(""))).otherwise(F.array_distinct("tokens"))
+    asking = lines.select("leaf", "line_id", F.explode(asks).alias("t"))
+    homes = templates.withColumnRenamed("leaf", "home")
+    texts = lines.select(F.col("leaf").alias("home"), F.col("line_id").alias("text_id"), "tokens")
+    latest = _open_templates(templates).groupBy("leaf").agg(F.max_by("template_id", F.struct("created_seq", "template_id")).alias("template_id"))
+    return (
+        asking.join(waiting, ["leaf", "t"]).select("line_id", "template_id")
+        .union(_loose_pairs(texts, homes))
+        .union(lines.select("leaf", "line_id").join(latest, "leaf").select("line_id", "template_id"))
+        .distinct()
+    )
 
 
 def match_templates(
@@ -573,73 +601,70 @@ def attach_templates(
 
 # ---------------------------------------------------------------- merging
 
-def _claim_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Templates of one chunk, sorted by (group, pos): the first that matches claims."""
-    group, leaders = None, []
-    for batch in batches:
-        out = []
-        for key, tid, text in zip(batch["group_key"], batch["template_id"], batch["text"]):
-            if key != group:
-                group, leaders = key, []
-            owner = next((i for i, p in leaders if _fits(text, p)), None)
-            if owner is None:
-                leaders.append((tid, _pieces(text)))
-                owner = tid
-            out.append((key, tid, owner))
-        yield pd.DataFrame(out, columns=["group_key", "template_id", "claimant_id"])
-
-
-def subsume_templates(templates: DataFrame, chunk: int = FIRST_CHUNK) -> DataFrame:
+def _first_matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(text_id, first)``: the earliest pattern of a text's group, by rank, that is before it and matches it.
+
+    Both are ``(template_id, home, tokens, rank)``. A pattern waits under its rarest whole word, and under
+    its first token if that is a literal; a text asks for each of its words, with its own first token and
+    without one. Partial minima are taken before the shuffle.
+    """
+    waits = patterns.select("home", "template_id", "rank", "tokens", F.get("tokens", F.lit(0)).alias("head"))
+    waits = waits.withColumn("head", F.when(F.col("head") == WILDCARD, F.lit("")).otherwise(F.coalesce("head", F.lit(""))))
+    held = waits.select("home", "template_id", F.explode(F.array_distinct(_whole_words(F.col("tokens")))).alias("key"))
+    often = held.groupBy("home", "key").agg(F.count(F.lit(1)).alias("n"))
+    rarest = held.join(often, ["home", "key"]).groupBy("template_id").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
+    empty = patterns.filter(F.size("tokens") == 0).select("template_id", F.lit("").alias("key"))
+    keyed = rarest.union(empty).join(waits.select("template_id", "home", "head", "rank"), "template_id")
+    words = F.when(F.size("tokens") == 0, F.array(F.lit(""))).otherwise(F.array_distinct(_literals("tokens")))
+    asks = texts.select(
+        "home", F.col("template_id").alias("text_id"), F.col("rank").alias("own"), F.explode(words).alias("key"),
+        F.coalesce(F.get("tokens", F.lit(0)), F.lit("")).alias("head"))
+    asks = asks.select("*", F.explode(F.array_distinct(F.array("head", F.lit("")))).alias("h")).drop("head").withColumnRenamed("h", "head")
+    before = F.col("rank") < F.col("own")
+    by_word = asks.join(keyed, ["home", "key", "head"]).filter(before).select("text_id", "template_id")
+    named = texts.select("home", F.col("template_id").alias("text_id"), "tokens", F.col("rank").alias("own"))
+    ranks = patterns.select("template_id", "rank")
+    by_end = _loose_pairs(named, patterns).join(ranks, "template_id").join(named.select("text_id", "own"), "text_id").filter(before)
+    # of the patterns of wildcards only the first of a group stands for all
+    open_first = _open_templates(patterns).groupBy("home").agg(F.min("rank").alias("rank"))
+    by_home = named.join(open_first, "home").filter(before).select("text_id", F.col("rank.template_id").alias("template_id"))
+    pairs = by_word.union(by_end.select("text_id", "template_id")).union(by_home).distinct()
+    return (
+        pairs.join(texts.select(F.col("template_id").alias("text_id"), F.array_join("tokens", " ").alias("text")), "text_id")
+        .join(patterns.select("template_id", "rank", template_pieces("tokens").alias("pieces")), "template_id")
+        .filter(matches_pieces("text", F.col("pieces")))
+        .groupBy("text_id").agg(F.min("rank").alias("first"))
+    )
+
+
+def subsume_templates(templates: DataFrame) -> DataFrame:
     """``(template_id, claimant_id)``: which template absorbs which inside its group.
 
-    In the order of most wildcards, then longest, each template not yet claimed claims every
-    unclaimed one its pattern matches.  A template's claimant is therefore the first unclaimed
-    one that matches it, so a bounded chunk can be settled in order and all later templates of
-    the group tested against its claimants in parallel.
+    In the order of most wildcards, then longest, then id, each template not yet claimed claims every
+    unclaimed one its pattern matches. So a template that no earlier one matches is a claimant, and one
+    whose earliest match is a claimant belongs to it. Patterns mostly match what their matches match, and
+    then every template is settled in one look-up. The rest, whose earliest match is itself claimed, look
+    again among the templates that are not, until none is left; the first of them in order always is
+    settled.
     """
     wild = F.size(F.filter("tokens", lambda t: t == WILDCARD))
-    base = templates.select(
-        "template_id", "group_key",
-        F.array_join("tokens", " ").alias("text"),
-        template_pieces("tokens").alias("pieces"),
-        F.struct((-wild).alias("w"), (-F.size("tokens")).alias("l")).alias("rank"),
-    )
-    _, fine = id_cells("template_id")
-    waiting = materialize(
-        dense_position(base, F.col("rank"), fine, ["template_id"], ["group_key"], "pos"), "ranked"
-    )
-    parts, start = [], 1
-    while not waiting.isEmpty():
-        now = waiting.filter(F.col("pos") < start + chunk)
-        settled = materialize(
-            now.repartition("group_key").sortWithinPartitions("group_key", "pos")
-            .mapInPandas(_claim_in_order, "group_key string, template_id long, claimant_id long"),
-            "claims",
-        )
-        parts.append(settled.select("template_id", "claimant_id"))
-        later = waiting.filter(F.col("pos") >= start + chunk)
-        if later.isEmpty():
-            break
-        leaders = (
-            waiting.join(settled.filter("template_id = claimant_id").select("template_id"), "template_id", "left_semi")
-        )
-        blocks = _template_blocks(leaders, ["group_key"], F.struct("pos", "template_id", "pieces"))
-        hits = F.filter("_templates", lambda t: matches_pieces("text", t["pieces"]))
-        first = F.array_min(F.transform(hits, lambda t: F.struct(t["pos"].alias("p"), t["template_id"].alias("c"))))
-        claimed = materialize(
-            later.join(blocks, "group_key")
-            .select("template_id", first.alias("_first"))
-            .groupBy("template_id").agg(F.min("_first").alias("_first"))
-            .filter(F.col("_first").isNotNull())
-            .select("template_id", F.col("_first.c").alias("claimant_id")),
-            "claims",
-        )
-        parts.append(claimed)
-        waiting = materialize(later.join(claimed, "template_id", "left_anti"), "ranked")
-        start += chunk
-    if not parts:
-        return templates.select("template_id", F.col("template_id").alias("claimant_id"))
-    return reduce(DataFrame.unionByName, parts)
+    rank = F.struct((-wild).alias("w"), (-F.size("tokens")).alias("l"), "template_id")
+    base = materialize(templates.select("template_id", F.col("group_key").alias("home"), "tokens", rank.alias("rank")), "ranked")
+    left, heads, parts = base, None, []
+    while True:
+        patterns = left if heads is None else left.unionByName(base.join(heads, "template_id", "left_semi"))
+        first = _first_matches(left, patterns).select(
+            F.col("text_id").alias("template_id"), F.col("first.template_id").alias("claimant_id"))
+        looked = materialize(left.select("template_id").join(first, "template_id", "left"), "looked")
+        found = looked.filter("claimant_id is null").select("template_id")
+        heads = found if heads is None else heads.union(found)
+        owned = looked.join(heads.withColumnRenamed("template_id", "claimant_id"), "claimant_id", "left_semi")
+        parts += [found.withColumn("claimant_id", F.col("template_id")), owned.select("template_id", "claimant_id")]
+        ids = materialize(
+            looked.filter("claimant_id is not null").join(owned.select("template_id"), "template_id", "left_anti").select("template_id"), "left")
+        if ids.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        left = base.join(ids, "template_id", "left_semi")
 
 
 def merge_templates(
@@ -653,6 +678,43 @@ def merge_templates(
     return templates.drop("size").join(merged, "template_id")
 
 
+def reinsert_templates(
+    templates: DataFrame, claims: DataFrame, depth: int = 4, max_child: int = 2, st: float = 0.5, last_seq: int = 0,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Put the merged templates of every group in which one absorbed another through a new prefix tree.
+
+    ``templates(template_id, group_key, tokens, size, label)``, ``claims`` as ``subsume_templates`` gives
+    them. The claimants of such a group arrive in their order of merging as sequences of their own tokens:
+    they are cut along new branches, and where they are similar they join and generalise once more.
+
+    Returns the groups that changed, their new templates ``(template_id, group_key, path, tokens,
+    created_seq, size, label)``, their branches, and ``(template_id, new_id)`` for every old template of
+    these groups. New ids follow ``last_seq``; sizes add up and the label is that of the youngest member.
+    """
+    known = templates.select("template_id", "group_key", "tokens", "size", "label")
+    joined = claims.filter("template_id <> claimant_id").select(F.col("claimant_id").alias("template_id"))
+    changed = materialize(known.join(joined, "template_id", "left_semi").select("group_key").distinct(), "changed")
+    wild = F.size(F.filter("tokens", lambda t: t == WILDCARD))
+    _, fine = id_cells("template_id")
+    heads = claims.filter("template_id = claimant_id").select("template_id")
+    ours = known.join(changed, "group_key", "left_semi")
+    merged = (
+        ours.join(heads, "template_id", "left_semi")
+        .withColumn("rank", F.struct((-wild).alias("w"), (-F.size("tokens")).alias("l")))
+    )
+    order = materialize(
+        dense_position(merged, F.col("rank"), fine, ["template_id"], out="_pos")
+        .select("template_id", "group_key", "tokens", (F.col("_pos") + last_seq).alias("line_id")), "order")
+    pathed, branches = prefix_path(order.select("line_id", "group_key", "tokens"), depth, max_child)
+    members, found = cluster_leaves(pathed, st, depth)
+    moved = materialize(
+        claims.join(order.select(F.col("template_id").alias("claimant_id"), "line_id"), "claimant_id")
+        .join(members.select("line_id", F.col("template_id").alias("new_id")), "line_id").select("template_id", "new_id"), "moved")
+    sums = ours.join(moved, "template_id").groupBy(F.col("new_id").alias("template_id")).agg(
+        F.sum("size").alias("size"), F.max_by("label", "template_id").alias("label"))
+    return changed, materialize(found.join(sums, "template_id"), "reinserted"), branches, moved
+
+
 def apply_template_delta(
     templates: DataFrame,
     removed_ids: DataFrame,

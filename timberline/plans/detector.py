@@ -7,11 +7,13 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import generalize_pair, tokenize_line
+from ..functions.text import generalize_pair, template_to_regex, tokenize_line
 from ..operators.bayes import NgramCounts, add_counts, build_scorer, nb_fit, nb_score
 from ..operators.grouping import frozen_path, group_key
 from ..operators.metrics import binary_metrics
-from ..operators.mining import FIRST_CHUNK, MinedTemplates, match_templates, mine_templates
+from ..operators.mining import (
+    FIRST_CHUNK, MinedTemplates, match_templates, mine_templates, reinsert_templates, subsume_templates,
+)
 from ..operators.positions import dense_position, id_cells
 from ..operators.windows import first_occurrence
 from ..session import materialize
@@ -120,6 +122,28 @@ def apply_feedback(detector: Detector, verdicts: DataFrame, query: str = "query"
     )
 
 
+def merge_detector(detector: Detector) -> tuple[Detector, DataFrame]:
+    """Merge templates that others absorb, and rebuild the tree of every group in which that happened.
+
+    Returns the detector that goes on from there and ``(template_id, new_id)`` for the templates replaced;
+    lists of recent templates follow it. Groups without a merge keep their templates, ids and branches.
+    """
+    claims = materialize(subsume_templates(detector.templates), "claims")
+    changed, found, branches, moved = reinsert_templates(
+        detector.templates, claims, detector.depth, detector.max_child, detector.st, detector.last_seq)
+    columns = detector.templates.columns
+    fresh = found.withColumns({"template": F.array_join("tokens", " "), "regex": template_to_regex("tokens")})
+    kept = detector.templates.join(changed, "group_key", "left_anti")
+    old = detector.branches.join(changed, "group_key", "left_anti")
+    last = found.agg(F.coalesce(F.max("template_id"), F.lit(0))).first()[0]
+    return replace(
+        detector,
+        templates=materialize(kept.select(*columns).unionByName(fresh.select(*columns)), "templates"),
+        branches=materialize(old.unionByName(branches.select(*old.columns)), "branches"),
+        last_seq=max(detector.last_seq, last),
+    ), moved
+
+
 def joined_template(lines: DataFrame, detector: Detector, content: str = "content") -> DataFrame:
     """``(line_id, tokens)``: the line's template after the line joined it, tree unchanged.
 
