@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from timberline.llm import counts, runs, search  # noqa: E402
+from timberline.llm import counts, rules, runs, search  # noqa: E402
 from timberline.llm.queries import QUERIES, byte_tokenizer, piece_model, word_tokenizer  # noqa: E402
 
 from .test_operators import TEXTS, docs, empty, prose  # noqa: E402, F401
@@ -230,3 +230,27 @@ def test_search_empty(spark, empty):  # noqa: F811
     frame = spark.createDataFrame([(1, "the end")], "doc_id long, text string")
     assert search.search(asked.limit(0), frame).count() == 0
     assert search.search(frame.withColumnRenamed("doc_id", "item_id"), frame).columns == ["item_id", "rank", "doc_id", "score"]
+
+
+# ---------------------------------------------------------------- rows that share an id, or have none
+
+def test_rules_tell_rows_of_one_id_apart(spark):
+    rng = random.Random(12)
+    footer = "all rights reserved by the owners of this site and of its parts"
+    rows = [(i, f"{prose(30, rng)}\n{footer}", "h", 1, "x") for i in range(60)]
+    good, bad, null_good = prose(40, rng), "too short", prose(40, rng)
+    rows += [(900, footer + "\n" + footer.upper(), "h", 1, "x"), (900, prose(14, rng), "h", 2, "x"), (7000, good, "h", 3, "x")]
+    rows += [(7000, bad, "h", 4, "x"), (None, null_good, "h", 5, "x"), (None, bad, "h", 6, "x"), (None, f"{prose(30, rng)}\n{footer}", "h", 7, "x")]
+    rows += [rows[0], rows[0]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, digest string")
+    verdicts = rules.quality_rules(d)
+    got = {(r.doc_id, r.n_words, r.kept, r.lost_words) for r in verdicts.collect()}
+    assert {(900, 26, False, 26), (900, 14, True, 0), (7000, 40, True, 0), (7000, 2, False, 0)} <= got
+    assert {(None, 40, True, 0), (None, 2, False, 0), (None, 43, True, 13)} <= got
+    clean = rules.cleaned(d, verdicts)
+    assert clean.columns == d.columns
+    left = [(r.doc_id, r.text, r.n_chars) for r in clean.collect()]
+    assert not any(bad == t or footer in t for _, t, _ in left)
+    assert sum(i == 0 for i, _, _ in left) == 3 and len(left) == len(rows) - 3
+    assert {(7000, good, 3), (None, null_good, 5)} <= set(left)
+    assert all(n == len(t) for i, t, n in left if i is not None and i < 60)

@@ -59,7 +59,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quality_rules(table(spark, sf_dir, "documents")).drop("removed_lines")
+    return rules.quality_rules(table(spark, sf_dir, "documents")).drop("removed_lines", "digest")
 
 
 @query

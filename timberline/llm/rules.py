@@ -19,8 +19,8 @@ and rejected. Counts are combined before each shuffle; texts are not shuffled, o
 for documents with a frequent line, of runs.
 
 Defined results: a null or empty text has no words and fails the base rules; a null host is a host
-of its own; rows that repeat an id are judged each by all lines of that id; a null doc_id is judged
-by its base counts alone; an empty table gives an empty result. Further columns of any name are not
+of its own; rows that share an id, or have none, are told apart by text and host, equal ones share their
+verdict; an empty table gives an empty result. Further columns of any name are not
 read.
 """
 
@@ -30,11 +30,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 from timberline.session import materialize
 
@@ -215,45 +214,59 @@ def frequent_lines(profile: DataFrame, max_docs: int = MAX_DOCS) -> tuple[DataFr
 def quality_rules(
     docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE,
 ) -> DataFrame:
-    """Counts and verdict of every document, with the hashes of the lines to remove."""
+    """Counts and verdict of every document, with the hashes of the lines to remove.
+
+    ``digest`` tells rows that share a doc_id apart; ``cleaned`` finds the rows by both.
+    """
     profile = profiles(docs, host)
     hits, hot = frequent_lines(profile, max_docs)
+    # equal rows share their digest, so a line counts once for them
     lost = (
-        hits.filter(F.col("doc") != _NO_ID).join(hot.select("host", "line").hint("merge"), ["host", "line"])
-        .groupBy(F.col("doc").alias("doc_id")).agg(F.sum("words").alias("lost_words"), F.collect_set("line").alias("removed_lines"))
+        hits.join(hot.select("host", "line").hint("merge"), ["host", "line"])
+        .groupBy("doc", "digest", "line").agg(F.max("words").alias("words"))
+        .groupBy("doc", "digest").agg(F.sum("words").alias("lost_words"), F.collect_list("line").alias("removed_lines"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("lost_words", F.lit(0))
     return (
-        profile.drop("lines", "digest", "host").join(lost.hint("merge"), "doc_id", "left")
+        profile.drop("lines", "host").withColumn("doc", F.coalesce("doc_id", F.lit(_NO_ID)))
+        .join(lost.hint("merge"), ["doc", "digest"], "left")
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (left >= F.lit(min_share) * F.col("n_words")))
         .withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                "kept", F.coalesce("lost_words", F.lit(0)).alias("lost_words"), "removed_lines")
+                "kept", F.coalesce("lost_words", F.lit(0)).alias("lost_words"), "removed_lines", "digest")
     )
 
 
-@F.pandas_udf(StringType())
-def _without_lines(text: pd.Series, removed: pd.Series) -> pd.Series:
-    def cut(t, gone):
-        if t is None or gone is None or not len(gone):
-            return t
-        gone = set(gone)
-        return "\n".join(x for x in t.split("\n") if not x.strip() or line_hash(x) not in gone)
-
-    return pd.Series([cut(t, gone) for t, gone in zip(text, removed)], dtype=object)
-
-
-def cleaned(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The kept documents without their boilerplate lines, with all columns of ``docs``."""
-    key, gone = fresh(docs, "__key"), fresh(docs, "__gone")
-    keep = verdicts.filter("kept").groupBy(F.col("doc_id").alias(key)).agg(
-        F.flatten(F.collect_set("removed_lines")).alias(gone))
-    out = docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep[key]))
-    cut = F.size(gone) > 0
-    out = out.withColumn("text", F.when(cut, _without_lines("text", gone)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+def _cut_part(columns: list[str], gone: str):
+    """Rows without their boilerplate lines, a few megabytes of text at a time."""
+    def cut(text: str | None, lines: list[int]) -> str | None:
+        drop = set(lines)
+        return None if text is None else "\n".join(x for x in text.split("\n") if not x.strip() or line_hash(x) not in drop)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            text = pa.array(map(cut, batch.column("text").to_pylist(), batch.column(gone).to_pylist()), batch.schema.field("text").type)
+            values = {c: batch.column(c) for c in columns} | {"text": text}
+            if "n_chars" in values:
+                values["n_chars"] = pc.utf8_length(text).cast(batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(values.values()), names=columns)
+
+    return run
+
+
+def cleaned(docs: DataFrame, verdicts: DataFrame, host: str = "source") -> DataFrame:
+    """The kept documents without their boilerplate lines, with all columns of ``docs``.
+
+    Only rows that lose lines go through Python; the others pass as they are.
+    """
+    key, mark, gone = (fresh(docs, x) for x in ("__key", "__digest", "__gone"))
+    keyed = docs.withColumns({
+        key: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)), mark: _digest(F.coalesce(F.col(host), F.lit("")))})
+    marked = verdicts.filter(~F.col("kept") | (F.size("removed_lines") > 0)).select(
+        F.coalesce("doc_id", F.lit(_NO_ID)).alias(key), F.col("digest").alias(mark), "kept", F.col("removed_lines").alias(gone))
+    marked = materialize(marked.groupBy(key, mark).agg(F.first("kept").alias("kept"), F.first(gone).alias(gone)), "marked")
+    same = keyed.join(marked.select(key, mark).hint("merge"), [key, mark], "left_anti").select(*docs.columns)
+    less = keyed.join(marked.filter("kept").drop("kept").hint("merge"), [key, mark]).select(*docs.columns, gone)
+    return same.unionByName(less.mapInArrow(_cut_part(docs.columns, gone), docs.schema))
