@@ -137,6 +137,44 @@ def detect(spark, sf):
     return scored_columns(detect_tokens(lines.filter("split = 'test'"), model))
 
 
+# every test line is scored with the counts of the train lines and of all test lines before it
+_BEFORE = "over (partition by ngram order by line_id rows between unbounded preceding and 1 preceding)"
+_EARLIER = "over (order by line_id rows between unbounded preceding and 1 preceding)"
+
+
+@query(
+    "nb_score_running",
+    f"""with {I.TOKENS}, {FIT}, {_TEST},
+    known as (select ngram, coalesce(sum(n) filter (label = 0), 0) b0, coalesce(sum(n) filter (label = 1), 0) b1 from ngram_counts group by ngram),
+    held as (select line_id, label, ngram, count(*) n from (select line_id, label, unnest(tokens) ngram from test) group by all),
+    counted as (select h.line_id, h.label, h.n, coalesce(b0, 0) + coalesce(sum(case when label = 0 then n else 0 end) {_BEFORE}, 0) n0,
+      coalesce(b1, 0) + coalesce(sum(case when label = 1 then n else 0 end) {_BEFORE}, 0) n1 from held h left join known using (ngram)),
+    added as (select line_id, count(*) filter (n0 + n1 = 0) fresh, coalesce(sum(n) filter (label = 1), 0) ones,
+      count(*) filter (label = 1 and n1 = 0) fresh1 from counted group by line_id),
+    start as (select (select count(*) from known) v, (select coalesce(sum(b1), 0) from known) ones,
+      (select count(*) filter (b1 > 0) from known) seen1, (select coalesce(sum(n), 0) from class_counts where label = 0) d0,
+      (select coalesce(sum(n), 0) from class_counts where label = 1) d1, (select arg_min(label, first_seq) from class_counts) first_label),
+    totals as (select t.line_id, t.label, s.first_label, (s.v + coalesce(sum(fresh) {_EARLIER}, 0))::double v,
+      s.ones + coalesce(sum(a.ones) {_EARLIER}, 0) ones, s.seen1 + coalesce(sum(fresh1) {_EARLIER}, 0) seen1,
+      s.d0 + coalesce(sum(case when t.label = 0 then 1 else 0 end) {_EARLIER}, 0) d0,
+      s.d1 + coalesce(sum(case when t.label = 1 then 1 else 0 end) {_EARLIER}, 0) d1
+      from test t left join added a using (line_id), start s),
+    sums as (select line_id, sum(n * ln((n0 + 1e-5) / (n0 + n1 + 1e-5 * v))) t0,
+      sum(n * case when n1 = 0 then ln((ones::double / seen1 + 1) / (n0 + n1 + v)) else ln((n1 + 1e-5) / (n0 + n1 + 1e-5 * v)) end) t1
+      from counted join totals using (line_id) group by line_id),
+    scored as (select t.line_id, t.label, coalesce(t0, 0) + ln(d0 / (d0 + d1)) score_0, coalesce(t1, 0) + ln(d1 / (d0 + d1)) score_1,
+      case when score_0 = score_1 then first_label when score_1 > score_0 then 1 else 0 end prediction
+      from totals t left join sums using (line_id))
+    select {SCORE_COLS} from scored""",
+)
+def nb_score_running(spark, sf):
+    lines = I.split_lines(spark, sf).select("line_id", "label", "split", tokenize_line("content").alias("tokens"))
+    docs = materialize(lines, "docs")
+    test = docs.filter("split = 'test'")
+    scored = B.nb_score_running(test, B.nb_fit(docs.filter("split = 'train'")))
+    return scored_columns(test.select("line_id", "label").join(scored, "line_id"))
+
+
 @query(
     "binary_metrics",
     f"with {I.TOKENS}, {FIT}, {_FIRST}, {sql_score('test')} select round(precision, 6) as precision, "

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from timberline.plans.detector import fit_token_model
-from timberline.session import scratch_path
+from timberline.operators.bayes import nb_fit
+from timberline.operators.grouping import vocab_counts
+from timberline.plans.detector import Detector, fit_token_model
+from timberline.session import materialize, scratch_path
 from timberline.streaming import jobs as J
 
 from . import inputs as I
 from .counts import FIT, SCORE_COLS, scored_columns, sql_score
 from .registry import query
+from .templates import SQL_TEMPLATES, blanked_templates, split_tokens
+from .text import SQL_PAIR
 
 
 def _stream(spark, df):
@@ -49,6 +53,58 @@ def stream_update(spark, sf):
     return J.load_counts(spark, path).ngram_counts
 
 
+# the template each test line joins: leaves are (language, first word), a word no template begins with is the wildcard
+_JOINED = f"""{SQL_TEMPLATES}, heads as (select distinct level, head from templates),
+  placed as (select l.line_id, l.label, l.level, case when h.head is null and len(l.tokens) > 0
+      then list_concat(['<*>'], l.tokens[2:]) else l.tokens end tokens
+    from tokens l left join heads h on l.level = h.level and l.tokens[1] = h.head where l.split = 'test'),
+  pairs as (select p.line_id, t.template_id, case when regexp_matches(array_to_string(p.tokens, ' '), t.regex) then 1.0::double
+      else length(list_intersect(p.tokens, t.tokens))::double / nullif(length(list_distinct(list_concat(p.tokens, t.tokens))), 0) end sim
+    from placed p join templates t on p.level = t.level and p.tokens[1] is not distinct from t.head),
+  best as (select line_id, arg_max(template_id, (sim, template_id)) template_id, max(sim) sim from pairs group by line_id),
+  test as (select p.line_id, p.label, case when t.tokens is null then p.tokens else {SQL_PAIR.format(a='t.tokens', b='p.tokens')} end tokens
+    from placed p left join best b on p.line_id = b.line_id and b.sim >= 0.5 left join templates t using (template_id))"""
+
+
+def _detector(spark, tokens):
+    """A detector of the blanked train lines as templates, grouped by language, with the counts of the train tokens."""
+    templates = blanked_templates(tokens).withColumn("group_key", F.concat("group_key", F.lit("-")))
+    heads = F.array_sort(F.collect_set(F.col("path")[0]))
+    branches = templates.filter(F.size("path") > 0).groupBy("group_key").agg(heads.alias("kept")).select(
+        "group_key", F.array().cast("array<string>").alias("path"), "kept", F.lit(False).alias("is_open"))
+    train = tokens.filter("split = 'train'")
+    return Detector(
+        counts=nb_fit(train).materialize(), templates=materialize(templates, "templates"), vocab=materialize(vocab_counts(train), "vocab"),
+        branches=materialize(branches, "branches"), heads=["level"], k=0, depth=1, st=0.5)
+
+
+@query(
+    "stream_score_templates",
+    f"with {I.TOKENS}, {FIT}, {_JOINED}, {sql_score('test')} select {SCORE_COLS} from scored",
+)
+def stream_score_templates(spark, sf):
+    """Arriving lines scored as the stored template each joins."""
+    lines, tokens = I.split_lines(spark, sf), split_tokens(spark, sf)
+    detector, sink = _detector(spark, tokens), scratch_path(spark, "scores")
+    test = lines.filter("split = 'test'").select("line_id", "content", "label", "level")
+    J.stream_score(_stream(spark, test), detector.counts, sink, scratch_path(spark, "ck"), detector=detector).awaitTermination()
+    return scored_columns(spark.read.parquet(sink))
+
+
+@query(
+    "stream_update_templates",
+    f"with {I.TOKENS}, {_JOINED}, grams as (select unnest(tokens) ngram, label from test) select ngram, label, count(*) n from grams group by all",
+)
+def stream_update_templates(spark, sf):
+    """Counts of the templates that arriving lines join, compacted every few batches."""
+    lines, tokens = I.split_lines(spark, sf), split_tokens(spark, sf)
+    test = lines.filter("split = 'test'").select("line_id", "content", "label", "level")
+    path = scratch_path(spark, "deltas")
+    J.stream_update(
+        _stream(spark, test), path, scratch_path(spark, "ck"), detector=_detector(spark, tokens), compact_every=2).awaitTermination()
+    return J.load_counts(spark, path).ngram_counts
+
+
 @query("stream_first_occurrence", f"with {I.LINES} select distinct event_template from lines")
 def stream_first_occurrence(spark, sf):
     lines = I.lines(spark, sf).select("line_id", "event_template")

@@ -19,7 +19,7 @@ from .text import SQL_PAIR, SQL_REGEX
 _BLANKED = "list_transform(tokens, lambda x, i: case when i > 1 and length(x) < 4 then '<*>' else x end)"
 
 
-def _tokens(spark, sf):
+def split_tokens(spark, sf):
     lines = I.split_lines(spark, sf)
     return materialize(
         lines.select("session_id", "line_id", "label", "level", "split", tokenize_line("content").alias("tokens")),
@@ -33,12 +33,12 @@ def _blanked(tokens):
     )
 
 
-_TEMPLATES = f"""templates as (
+SQL_TEMPLATES = f"""templates as (
   select level, tokens[1] head, b tokens, min(line_id) template_id, {SQL_REGEX.format('b')} regex
   from (select *, {_BLANKED} b from tokens where split = 'train') group by level, head, b)"""
 
 
-def _templates(tokens):
+def blanked_templates(tokens):
     """Distinct blanked token lists of the train lines; a leaf is (language, first token)."""
     return (
         tokens.filter("split = 'train'")
@@ -54,7 +54,7 @@ def _templates(tokens):
 
 @query(
     "match_templates",
-    f"""with {I.TOKENS}, {_TEMPLATES}, pairs as (
+    f"""with {I.TOKENS}, {SQL_TEMPLATES}, pairs as (
       select l.line_id, t.template_id, case when regexp_matches(array_to_string(l.tokens, ' '), t.regex) then 1.0::double
         else length(list_intersect(l.tokens, t.tokens))::double / nullif(length(list_distinct(list_concat(l.tokens, t.tokens))), 0) end sim
       from tokens l join templates t on l.level = t.level and l.tokens[1] is not distinct from t.head
@@ -64,11 +64,11 @@ def _templates(tokens):
     where r = 1 and sim >= 0.5""",
 )
 def match_templates(spark, sf):
-    tokens = _tokens(spark, sf)
+    tokens = split_tokens(spark, sf)
     test = tokens.filter("split = 'test'").select(
         "line_id", F.col("level").alias("group_key"), F.slice("tokens", 1, 1).alias("path"), "tokens"
     )
-    out = M.match_templates(test, _templates(tokens), 0.5)
+    out = M.match_templates(test, blanked_templates(tokens), 0.5)
     return out.select("line_id", "template_id", F.round("sim", 6).alias("sim"))
 
 
@@ -95,7 +95,7 @@ _ENDED = f"""templates as (
     from asked left join one using (template_id) left join two using (template_id)""",
 )
 def feedback(spark, sf):
-    tokens = _tokens(spark, sf)
+    tokens = split_tokens(spark, sf)
     stored = tokens.filter("split = 'test'").select(
         F.array_join("tokens", " ").alias("template"), F.col("label").alias("score"), F.col("line_id").alias("seq")
     )
@@ -115,7 +115,7 @@ def feedback(spark, sf):
     lambda a, b: {SQL_PAIR.format(a='a', b='b')}), ' ') template from tokens group by session_id""",
 )
 def generalize_template(spark, sf):
-    out = M.generalize_template(_tokens(spark, sf), "session_id")
+    out = M.generalize_template(split_tokens(spark, sf), "session_id")
     return out.select("session_id", F.array_join("tokens", " ").alias("template"))
 
 
@@ -143,7 +143,7 @@ def cluster_label(spark, sf):
 )
 def attach_templates(spark, sf):
     """Lines of the test split have no cluster and stay without a template."""
-    tokens = _tokens(spark, sf)
+    tokens = split_tokens(spark, sf)
     head = F.coalesce(F.get("tokens", F.lit(0)), F.lit(""))
     keyed = tokens.filter("split = 'train'").select("line_id", F.concat_ws("-", "level", head).alias("template"))
     templates = keyed.groupBy("template").agg(F.min("line_id").alias("template_id"))
@@ -169,7 +169,7 @@ def mine_assignments(spark, sf):
 
 
 # claims settled in rounds: of those without an owner the ones whose first match is an owner, or that have none
-_CLAIMS = f"""with recursive {I.TOKENS}, {_TEMPLATES},
+_CLAIMS = f"""with recursive {I.TOKENS}, {SQL_TEMPLATES},
     ranked as materialized (select template_id, level, head, regex, array_to_string(tokens, ' ') txt,
       row_number() over (order by -len(list_filter(tokens, lambda t: t = '<*>')), -len(tokens), template_id) r from templates),
     -- patterns here begin with a word, so a match has the same one
@@ -188,7 +188,7 @@ _CLAIMS = f"""with recursive {I.TOKENS}, {_TEMPLATES},
 
 @query("subsume_templates", f"{_CLAIMS} select template_id, claimant_id from claims")
 def subsume_templates(spark, sf):
-    templates = _templates(_tokens(spark, sf)).select("template_id", "group_key", "tokens")
+    templates = blanked_templates(split_tokens(spark, sf)).select("template_id", "group_key", "tokens")
     return M.subsume_templates(templates)
 
 
@@ -203,7 +203,7 @@ def subsume_templates(spark, sf):
 )
 def apply_template_delta(spark, sf):
     templates = materialize(
-        _templates(_tokens(spark, sf)).select("template_id", "group_key", "tokens").withColumn("size", F.lit(1))
+        blanked_templates(split_tokens(spark, sf)).select("template_id", "group_key", "tokens").withColumn("size", F.lit(1))
     )
     claims = materialize(M.subsume_templates(templates))
     absorbed = claims.groupBy("claimant_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -219,7 +219,7 @@ def apply_template_delta(spark, sf):
 def reinsert_templates(spark, sf):
     """The templates of every group in which one absorbed another, after they went through a new tree."""
     templates = materialize(
-        _templates(_tokens(spark, sf)).select("template_id", "group_key", "tokens").withColumns(
+        blanked_templates(split_tokens(spark, sf)).select("template_id", "group_key", "tokens").withColumns(
             {"size": F.lit(1).cast("long"), "label": F.lit(0)}))
     claims = materialize(M.subsume_templates(templates))
     _, found, _, _ = M.reinsert_templates(templates, claims)
@@ -253,3 +253,11 @@ def detect_lines_frozen(spark, sf):
     detector, _ = D.fit_detector(lines.filter("split = 'train'"))
     predictions, _ = D.detect_lines(lines.filter("split = 'test'"), detector, online=False)
     return predictions.select("line_id", "label", "prediction", F.round("score_0", 5).alias("score_0"))
+
+
+@query("detect_lines_update")
+def detect_lines_update(spark, sf):
+    lines = I.split_lines(spark, sf)
+    detector, _ = D.fit_detector(lines.filter("split = 'train'"))
+    predictions, _ = D.detect_lines(lines.filter("split = 'test'"), detector, update=True)
+    return predictions.select("line_id", "label", "prediction", F.round("score_0", 5).alias("score_0"))

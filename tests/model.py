@@ -99,4 +99,4 @@ class Bayes:
                     p += math.log((c[label] + 1e-5) / (total + 1e-5 * v))
             if best is None or p > best[0]:
                 best = (p, label)
-        return best[1]
+        return best and best[1]

@@ -1,3 +1,4 @@
+import copy
 import random
 
 import pytest
@@ -90,6 +91,16 @@ def test_detector_equals_ordered_pass(spark, tmp_path):
     counts = {(r["ngram"], r["label"]): r["n"] for r in detector.counts.ngram_counts.collect()}
     assert counts == {(t, l): n for t, c in bayes.grams.items() for l, n in c.items() if n}
     lines = frame(spark, test).withColumn("event_template", F.col("content"))
+    # every line judged counts for the next
+    other, counting, want, seen = copy.deepcopy(miner), copy.deepcopy(bayes), {}, set()
+    for i, text, label in test:
+        if text not in seen:
+            seen.add(text)
+            snapshot = other.add(i, tokens_of(text))[3]
+            want[i] = counting.predict(snapshot)
+            counting.fit(snapshot, label)
+    updated, _ = D.detect_lines(lines, detector, update=True)
+    assert {r["line_id"]: r["prediction"] for r in updated.collect()} == want
     got, _ = D.detect_lines(lines, detector)
     got = {r["line_id"]: r["prediction"] for r in got.collect()}
     seen, want = set(), {}

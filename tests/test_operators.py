@@ -10,7 +10,7 @@ from timberline.functions import text as T
 from timberline.functions.patterns import HEX_WORD, MASK_PRESETS, jvm_pattern
 from timberline.operators import positions as P
 from timberline.operators import windows as W
-from timberline.operators.bayes import nb_fit, nb_score
+from timberline.operators.bayes import nb_fit, nb_score, nb_score_running
 from timberline.operators.metrics import binary_metrics, session_rollup
 from timberline.operators.retrieval import append_candidates, knn_join
 from timberline.operators.verdicts import parse_verdict
@@ -220,3 +220,32 @@ def test_scores_are_in_range(spark):
     for r in out.collect():
         low = 0.9 if r["l"] else 0.0
         assert low - 1e-9 <= r["s"] <= low + 0.1 + 1e-9 and math.isclose(r["s"] * 100, round(r["s"] * 100), abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("seed, fitted", [(0, 0), (1, 1), (2, 40)])
+def test_running_scores_equal_one_line_after_the_other(spark, seed, fitted):
+    rng = random.Random(seed)
+    words = ["up", "down", "fail", "ok", "x1", "x2", "x3"]
+    rows = [(i * 3 + 5, rng.choices(words, k=rng.randint(0, 6)), int(rng.random() < 0.3)) for i in range(120)]
+    bayes = Bayes()
+    for _, tokens, label in rows[:fitted]:
+        bayes.fit(tokens, label)
+    frame = spark.createDataFrame(rows, "line_id long, tokens array<string>, label int")
+    base = nb_fit(frame.limit(0) if not fitted else spark.createDataFrame(rows[:fitted], frame.schema))
+    docs = spark.createDataFrame(rows[fitted:], frame.schema)
+    got = {r["line_id"]: r["prediction"] for r in nb_score_running(docs.repartition(3), base).collect()}
+    assert len(got) == 120 - fitted
+    for i, tokens, label in rows[fitted:]:
+        assert got[i] == bayes.predict(tokens), (i, tokens)
+        bayes.fit(tokens, label)
+
+
+def test_running_scores_start_from_the_fitted_ones(spark):
+    rows = [(i, ["a", "b", "c"][: 1 + i % 3], i % 2) for i in range(12)]
+    docs = spark.createDataFrame(rows, "line_id long, tokens array<string>, label int")
+    model = nb_fit(docs)
+    first = spark.createDataFrame([(100, ["a", "d"], 1)], docs.schema)
+    a, b = nb_score_running(first, model).first(), nb_score(first, model).first()
+    assert a["score_0"] == pytest.approx(b["score_0"]) and a["score_1"] == pytest.approx(b["score_1"])
+    with pytest.raises(ValueError, match="neither"):
+        nb_score_running(first.withColumn("label", F.lit(2)), model)

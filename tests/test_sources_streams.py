@@ -10,7 +10,7 @@ from timberline.operators.bayes import nb_fit, nb_score
 from timberline.operators.positions import assign_line_id
 from timberline.plans.detector import fit_detector, joined_template
 from timberline.plans.prepare import prepare_dataset
-from timberline.session import scratch_path, shared_dir
+from timberline.session import list_names, scratch_path, shared_dir
 from timberline.sources import logs as L
 from timberline.sources import sinks as S
 from timberline.streaming import jobs as J
@@ -132,6 +132,46 @@ def test_stream_update_tests_then_trains(spark, labelled):
     assert spark.read.parquet(scores).select("batch_id").distinct().count() == 2
 
 
+def test_compacted_counts_score_alike(spark, labelled):
+    def source():
+        path = scratch_path(spark, "in")
+        for i in range(7):
+            labelled.filter(F.col("line_id") % 7 == i).coalesce(1).write.mode("append").parquet(path)
+        return spark.readStream.schema(labelled.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    found = []
+    for every in (2, 100):
+        path, scores = scratch_path(spark, "model"), scratch_path(spark, "scores")
+        J.stream_update(source(), path, scratch_path(spark, "ck"), scores=scores, compact_every=every).awaitTermination()
+        # files of one second come in no fixed order, so scores are compared by what was counted before
+        rows = spark.read.parquet(scores).groupBy("batch_id").count().collect()
+        counts = J.load_counts(spark, path)
+        found.append((len(rows), sorted(map(tuple, counts.ngram_counts.collect())), sorted(map(tuple, counts.class_counts.collect()))))
+        if every == 2:
+            assert [n for n in list_names(spark, f"{path}/snapshots") if n.startswith("before=")] == ["before=6"]
+            assert [n for n in list_names(spark, f"{path}/ngram_counts") if n.startswith("batch_id=")] == ["batch_id=6"]
+            # a replayed batch overwrites its delta and compacts nothing anew
+            J.compact_counts(spark, path, 6)
+            assert sorted(map(tuple, J.load_counts(spark, path).ngram_counts.collect())) == found[0][1]
+            assert J.load_counts(spark, path, before=6).class_counts.agg(F.sum("n")).first()[0] < 60
+    assert found[0] == found[1]
+    total = nb_fit(labelled.withColumn("tokens", tokenize_line("content")))
+    assert found[0][1] == sorted(map(tuple, total.ngram_counts.collect()))
+
+
+def test_a_cut_off_snapshot_is_not_read(spark, labelled):
+    path = scratch_path(spark, "model")
+    counts = nb_fit(labelled.withColumn("tokens", tokenize_line("content")))
+    for i in range(3):
+        counts.class_counts.write.parquet(f"{path}/class_counts/batch_id={i}")
+        counts.ngram_counts.write.parquet(f"{path}/ngram_counts/batch_id={i}")
+    counts.class_counts.write.parquet(f"{path}/snapshots/before=2/class_counts")  # its other table is missing
+    one = counts.class_counts.agg(F.sum("n")).first()[0]
+    assert J.load_counts(spark, path).class_counts.agg(F.sum("n")).first()[0] == 3 * one
+    J.compact_counts(spark, path, 2)
+    assert J.load_counts(spark, path).class_counts.agg(F.sum("n")).first()[0] == 3 * one
+
+
 def test_streams_take_the_templates_of_a_detector(spark):
     rows = [(i, f"server node closed link {'abcdefg'[i % 7] * 3} {'badly' if i % 5 == 0 else 'today'}", int(i % 5 == 0)) for i in range(60)]
     lines = spark.createDataFrame(rows, "line_id long, content string, label int")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import ngrams
 from ..session import materialize
+from .positions import running_counts
 
 SMOOTHING = 1e-5
 # n-grams with at least this share of all occurrences are joined from a broadcast table of at
@@ -194,3 +195,78 @@ def nb_score(
         doc_id, (F.col("t0") + prior[0]).alias("score_0"), (F.col("t1") + prior[1]).alias("score_1")
     )
     return scored.withColumn("prediction", scorer.verdict(F.col("score_0"), F.col("score_1")))
+
+
+def nb_score_running(
+    docs: DataFrame,
+    base: NgramCounts,
+    emphasize: bool = True,
+    tokens: str = "tokens",
+    label: str = "label",
+    order: str = "line_id",
+) -> DataFrame:
+    """``(order, score_0, score_1, prediction)`` where every document is first scored, then counted.
+
+    A document meets the counts of ``base`` and of all documents before it by the unique integer
+    ``order``, as a pass over one document after the other would. What it needs of them are running sums:
+    of its n-grams by n-gram, of documents, distinct n-grams and class-1 occurrences over all documents.
+    So the pass is four windows over bounded cells, not a loop. Scores are those of ``nb_score``.
+    """
+    rows = materialize(
+        docs.select(F.col(order).cast("long").alias("_i"), F.col(label).alias("_label"), ngrams(tokens, base.n).alias("_grams")), "running_docs")
+    other = rows.select("_label").union(base.class_counts.select("label")).filter(
+        ~F.coalesce(F.col("_label").isin(0, 1), F.lit(False))).head()
+    if other is not None:
+        raise ValueError(f"label {other[0]!r} is neither 0 nor 1")
+    known = ngram_totals(base.ngram_counts).select(F.col("ngram").alias("_g"), F.col("n0").alias("b0"), F.col("n1").alias("b1"))
+    one = F.col("_label") == 1
+    held = (
+        rows.select("_i", "_label", F.explode("_grams").alias("_g"))
+        .groupBy("_g", "_i", "_label").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns({"_own0": F.when(~one, F.col("_n")).otherwise(0), "_own1": F.when(one, F.col("_n")).otherwise(0)})
+    )
+    counted = running_counts(held, ["_g"], "_i", {"_r0": "_own0", "_r1": "_own1"}).join(known, "_g", "left")
+    n0 = F.coalesce("b0", F.lit(0)) + F.col("_r0") - F.col("_own0")
+    n1 = F.coalesce("b1", F.lit(0)) + F.col("_r1") - F.col("_own1")
+    counted = materialize(counted.select("_i", "_label", "_n", n0.alias("_n0"), n1.alias("_n1")), "running_grams")
+    # what a document adds to the totals: n-grams seen for the first time, in any class and in class 1
+    added = counted.groupBy("_i").agg(
+        F.count_if(F.col("_n0") + F.col("_n1") == 0).alias("_new"),
+        F.sum(F.when(one, F.col("_n")).otherwise(0)).alias("_mass1"),
+        F.count_if(one & (F.col("_n1") == 0)).alias("_new1"),
+    )
+    own = {"_docs0": "_is0", "_docs1": "_is1", "_v": "_new", "_ones": "_mass1", "_seen1": "_new1"}
+    steps = rows.select("_i", "_label").join(added, "_i", "left").na.fill(0, ["_new", "_mass1", "_new1"]).withColumns(
+        {"_is0": (~one).cast("long"), "_is1": one.cast("long")})
+    totals = running_counts(steps, [], "_i", own)
+    start = materialize(ngram_totals(base.ngram_counts), "ngrams").agg(
+        F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n1"), F.lit(0)).alias("ones"), F.count_if(F.col("n1") > 0).alias("seen1")).head()
+    classes = {r["label"]: r for r in base.class_counts.collect()}
+    held_before = {
+        "_docs0": classes[0]["n"] if 0 in classes else 0, "_docs1": classes[1]["n"] if 1 in classes else 0,
+        "_v": start["v"], "_ones": start["ones"], "_seen1": start["seen1"],
+    }
+    if classes:  # a class met later comes second
+        first = min(classes.values(), key=lambda r: r["first_seq"])["label"]
+    else:
+        lowest = rows.agg(F.min_by("_label", "_i")).head()[0]
+        first = 0 if lowest is None else lowest
+    totals = totals.select("_i", *[(F.col(c) - F.col(v) + F.lit(held_before[c])).alias(c) for c, v in own.items()])
+    v, mean1 = F.greatest("_v", F.lit(1)), F.coalesce(F.try_divide("_ones", "_seen1"), F.lit(0.0))
+    total = F.col("_n0") + F.col("_n1")
+
+    def smooth(count: Column) -> Column:
+        return (count + SMOOTHING) / (total + SMOOTHING * v)
+
+    p1 = smooth(F.col("_n1"))
+    if emphasize:
+        p1 = F.when(F.col("_n1") == 0, (mean1 + 1) / (total + v)).otherwise(p1)
+    sums = counted.join(totals, "_i").groupBy("_i").agg(
+        F.sum(F.col("_n") * F.log(smooth(F.col("_n0")))).alias("_t0"), F.sum(F.col("_n") * F.log(p1)).alias("_t1"))
+    n_docs = F.col("_docs0") + F.col("_docs1")
+    score = {c: F.when(F.col(f"_docs{c}") > 0, F.coalesce(f"_t{c}", F.lit(0.0)) + F.log(F.col(f"_docs{c}") / n_docs)) for c in (0, 1)}
+    wins = F.col("score_1") > F.col("score_0") if first == 0 else F.col("score_1") >= F.col("score_0")
+    verdict = F.when(F.col("score_1").isNull() & F.col("score_0").isNull(), F.lit(None).cast("int")).when(
+        F.col("score_1").isNull(), 0).when(F.col("score_0").isNull(), 1).otherwise(wins.cast("int"))
+    return totals.join(sums, "_i", "left").select(
+        F.col("_i").alias(order), score[0].alias("score_0"), score[1].alias("score_1")).withColumn("prediction", verdict)

@@ -102,10 +102,17 @@ def running_count(
 
     ``df`` holds at most one row per key and order value.
     """
-    keys = list(keys)
+    return running_counts(df, keys, order, {out: value}, span)
+
+
+def running_counts(
+    df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str], span: int = CELL_SPAN
+) -> DataFrame:
+    """``running_count`` of several columns at once: ``sums`` maps new columns to summed ones."""
+    keys, values = list(keys), list(sums.values())
     cells = (
         df.withColumn("_cell", cell_of(order, span))
-        .groupBy(*keys, "_cell").agg(F.sum(value).alias("_sum"))
+        .groupBy(*keys, "_cell").agg(*[F.sum(v).alias(v) for v in values])
     )
     before = (
         Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,7 +120,7 @@ def running_count(
     # the sum before a cell enters the cell's window as a leading row, which saves a join
     leading = cells.select(
         *keys, "_cell", F.lit(None).cast(df.schema[order].dataType).alias(order),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias(value),
+        *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(v) for v in values],
     )
     inside = (
         Window.partitionBy(*keys, "_cell").orderBy(F.asc_nulls_first(order))
@@ -122,9 +129,9 @@ def running_count(
     rows = df.withColumn("_cell", cell_of(order, span))
     return (
         rows.unionByName(leading, allowMissingColumns=True)
-        .withColumn(out, F.sum(value).over(inside))
+        .select("*", *[F.sum(v).over(inside).alias(out) for out, v in sums.items()])
         .filter(F.col(order).isNotNull())
-        .select(*df.columns, out)
+        .select(*df.columns, *sums)
     )
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import generalize_pair, template_to_regex, tokenize_line
-from ..operators.bayes import NgramCounts, add_counts, build_scorer, nb_fit, nb_score
+from ..operators.bayes import NgramCounts, add_counts, build_scorer, nb_fit, nb_score, nb_score_running
 from ..operators.grouping import frozen_path, group_key
 from ..operators.metrics import binary_metrics
 from ..operators.mining import (
@@ -180,27 +180,34 @@ def detect_lines(
     online: bool = True,
     emphasize: bool = True,
     template: str = "event_template",
+    update: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Predictions ``(line_id, label, score_0, score_1, prediction)`` and their metrics.
 
     With ``dedupe`` only the first line of each template, in line order, is judged.  ``online``
     lets the judged lines go on shaping the templates as they pass; otherwise the fitted
-    templates stay as they are.
+    templates stay as they are.  ``update`` counts every judged line under its label once it is
+    judged, so each is scored with the fitted counts and those of all lines before it.
     """
     if dedupe:
         lines = first_occurrence(lines, template)
-    scorer = build_scorer(detector.counts, emphasize)
+    if update:
+        score = lambda docs, key: nb_score_running(
+            docs.join(judged.select(key, "label"), key), detector.counts, emphasize, order=key)
+    else:
+        scorer = build_scorer(detector.counts, emphasize)
+        score = lambda docs, key: nb_score(docs, scorer, doc_id=key)
     if online:
         coarse, fine = id_cells("line_id")
         judged = _numbered_after(detector, lines, ["line_id"], coarse, fine)
         rows = judged.withColumnRenamed("line_id", "_line").withColumnRenamed("_seq", "line_id")
         mined = _go_on(detector, rows)
         docs = mined.assignments.select(F.col("line_id").alias("_seq"), F.col("snapshot").alias("tokens"))
-        scored = nb_score(docs, scorer, doc_id="_seq")
+        scored = score(docs, "_seq")
         predictions = judged.select("line_id", "_seq", template, "label").join(scored, "_seq").drop("_seq")
     else:
         judged = materialize(lines, "judged")
-        scored = nb_score(joined_template(judged, detector), scorer)
+        scored = score(joined_template(judged, detector), "line_id")
         predictions = judged.select("line_id", template, "label").join(scored, "line_id")
     predictions = materialize(predictions, "predictions")
     return predictions, binary_metrics(predictions)

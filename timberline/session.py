@@ -60,18 +60,34 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that nothing reads any more."""
     if "/timberline/" not in path:
         raise ValueError(f"{path} is not below the scratch folder")
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    drop_path(spark, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system Spark knows."""
+    system, place = _file_system(spark, path)
+    system.delete(place, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path of any file system Spark knows is there."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    system, place = _file_system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

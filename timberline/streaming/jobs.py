@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import tokenize_line
 from ..operators.bayes import NgramCounts, add_counts, build_scorer, nb_fit, nb_score
 from ..plans.detector import Detector, joined_template
-from ..session import path_exists
+from ..session import drop_path, list_names, path_exists
 
 
 def _start(
@@ -52,6 +52,9 @@ def stream_score(
     return _start(stream, each, checkpoint, once)
 
 
+_TABLES = ("class_counts", "ngram_counts")
+
+
 def stream_update(
     stream: DataFrame,
     model_path: str,
@@ -60,22 +63,27 @@ def stream_update(
     scores: str | None = None,
     once: bool = True,
     detector: Detector | None = None,
+    compact_every: int = 32,
 ) -> StreamingQuery:
     """Test, then train: score a micro-batch with the counts so far, then add its own counts.
 
     With a ``detector`` a line counts as the frozen template it joins; its heads are further columns.
     Counts are kept as one delta per batch id; a replayed batch overwrites its delta, and
-    ``load_counts`` adds the deltas up.
+    ``load_counts`` adds them up.  Every ``compact_every`` batches the deltas so far become one
+    snapshot, so a batch reads one snapshot and at most that many deltas, however long the stream runs.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         docs = _docs(batch, detector).persist()
+        if batch_id and batch_id % compact_every == 0:
+            compact_counts(spark, model_path, batch_id)
         if scores:
-            before = load_counts(batch.sparkSession, model_path, base, before=batch_id)
+            before = load_counts(spark, model_path, base, before=batch_id)
             if before is not None:
                 nb_score(docs, before).write.mode("overwrite").parquet(f"{scores}/batch_id={batch_id}")
         delta = nb_fit(docs)
-        for name in ("class_counts", "ngram_counts"):
+        for name in _TABLES:
             getattr(delta, name).write.mode("overwrite").parquet(f"{model_path}/{name}/batch_id={batch_id}")
         docs.unpersist()
         batch.unpersist()
@@ -83,25 +91,59 @@ def stream_update(
     return _start(stream, each, checkpoint, once)
 
 
+def _written(spark, model_path: str, before: int | None) -> tuple[int, list[int]]:
+    """(the batch id the newest complete snapshot ends before, 0 without one; ids of the later deltas)."""
+    def ids(folder: str, prefix: str, marks: tuple[str, ...]) -> list[int]:
+        out = [int(n.removeprefix(prefix)) for n in list_names(spark, folder) if n.startswith(prefix)]
+        return [i for i in out if (before is None or i < before + (prefix == "before=")) and all(
+            path_exists(spark, f"{folder}/{prefix}{i}/{m}_SUCCESS") for m in marks)]
+
+    start = max(ids(f"{model_path}/snapshots", "before=", tuple(f"{t}/" for t in _TABLES)), default=0)
+    classes, grams = (sorted(i for i in ids(f"{model_path}/{t}", "batch_id=", ("",)) if i >= start) for t in _TABLES)
+    # a batch that was cut off left one table only; its replay writes both
+    whole = sorted(set(classes) & set(grams))
+    if not whole and not start and (classes or grams) and before is None:
+        raise FileNotFoundError(f"{model_path} holds only one of class_counts and ngram_counts")
+    return start, whole
+
+
+def _sum_written(spark, model_path: str, start: int, deltas: list[int]) -> NgramCounts | None:
+    tables = []
+    for name in _TABLES:
+        paths = [f"{model_path}/snapshots/before={start}/{name}"] * (start > 0) + [f"{model_path}/{name}/batch_id={i}" for i in deltas]
+        tables.append(spark.read.parquet(*paths) if paths else None)
+    if tables[0] is None:
+        return None
+    return add_counts(NgramCounts(tables[0].limit(0), tables[1].limit(0)), NgramCounts(*tables))
+
+
+def compact_counts(spark, model_path: str, before: int) -> None:
+    """Turn the snapshot and deltas of all batches before ``before`` into one snapshot, then drop them.
+
+    Batches before a running one are finished for good, so their deltas never change again. A snapshot
+    counts once both of its tables are committed; what it replaces is deleted after that.
+    """
+    start, deltas = _written(spark, model_path, before)
+    if not deltas or start >= before:
+        return
+    counts = _sum_written(spark, model_path, start, deltas)
+    for name in _TABLES:
+        getattr(counts, name).write.mode("overwrite").parquet(f"{model_path}/snapshots/before={before}/{name}")
+    for name in _TABLES:
+        for i in deltas:
+            drop_path(spark, f"{model_path}/{name}/batch_id={i}")
+    if start:
+        drop_path(spark, f"{model_path}/snapshots/before={start}")
+
+
 def load_counts(
     spark, model_path: str, base: NgramCounts | None = None, before: int | None = None
 ) -> NgramCounts | None:
     """Counts of all written batches (or those before a batch id) on top of ``base``."""
-    found = [path_exists(spark, f"{model_path}/{name}") for name in ("class_counts", "ngram_counts")]
-    if not any(found):  # nothing written yet
+    found = _sum_written(spark, model_path, *_written(spark, model_path, before))
+    if found is None:  # nothing written yet
         return base
-    if not all(found):
-        raise FileNotFoundError(f"{model_path} holds only one of class_counts and ngram_counts")
-    classes = spark.read.parquet(f"{model_path}/class_counts")
-    grams = spark.read.parquet(f"{model_path}/ngram_counts")
-    if before is not None:
-        classes = classes.filter(F.col("batch_id") < before)
-        grams = grams.filter(F.col("batch_id") < before)
-        if classes.isEmpty():
-            return base
-    empty = NgramCounts(classes.drop("batch_id").limit(0), grams.drop("batch_id").limit(0))
-    deltas = NgramCounts(classes.drop("batch_id"), grams.drop("batch_id"))
-    return add_counts(base or empty, deltas)
+    return found if base is None else add_counts(base, found)
 
 
 def stream_first_occurrence(
