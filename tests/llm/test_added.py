@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from timberline.llm import counts, rules, runs, search  # noqa: E402
+from timberline.llm import counts, html, rules, runs, search  # noqa: E402
 from timberline.llm.queries import QUERIES, byte_tokenizer, piece_model, word_tokenizer  # noqa: E402
 
 from .test_operators import TEXTS, docs, empty, prose  # noqa: E402, F401
@@ -254,3 +255,31 @@ def test_rules_tell_rows_of_one_id_apart(spark):
     assert sum(i == 0 for i, _, _ in left) == 3 and len(left) == len(rows) - 3
     assert {(7000, good, 3), (None, null_good, 5)} <= set(left)
     assert all(n == len(t) for i, t, n in left if i is not None and i < 60)
+
+
+# ---------------------------------------------------------------- pages that leave tags out
+
+@pytest.mark.parametrize("page, lines", [
+    ("<html><head><title>x</title><body><article><p>one<p>two", ["one", "two"]),
+    ("<head><meta charset=utf-8><title>a</title><article>one</article>", ["one"]),
+    ("<head><title>a</title>plain text", ["plain text"]),
+    ("<head><script>if (a < b) c()</script><link rel=x><style>p{}</style></head><p>one", ["one"]),
+    ("<head><title>never closed<body><p>one</p>", ["one"]),
+    ("<title>a <b>bold</b> title</title><p>one", ["one"]),
+    ("<body><button>press<p>one</p><p>two</p>", ["one", "two"]),
+    ("<body><button><div>press</div></button><p>one</p>", ["one"]),
+    ("<body><form><textarea>typed<p>one</p></form><p>two", ["one", "two"]),
+    ("<body><select><option>a<option>b</select><p>one", ["one"]),
+    ("<body><select><option>a<option>b<p>one", ["one"]),
+    ("<p>one <a href=x><span><b><i><u>deep</u></i></b></span></a>", ["one deep"]),
+])
+def test_omitted_tags(page, lines):
+    assert [t for _, t in html.Page(page).blocks] == lines
+
+
+def test_deep_and_wide_pages_in_time():
+    start = time.process_time()
+    deep = html.Page("<div>" * 20_000 + "<p>one</p>" + "</div>" * 20_000)
+    wide = html.Page("<p>x</p>" * 20_000)
+    assert len(deep.blocks) == 1 and len(wide.blocks) == 20_000 and wide.nodes[-1].twins == 19_999
+    assert time.process_time() - start < 20

@@ -11,7 +11,8 @@ is laid out in many skeletons with menus, notices, adverts, forms, sidebars and
 every node's role is known (a header inside main content is the article's own). Extraction is one pass over the pages without a shuffle.
 
 Defined results: a null or empty html, or a page without main content, gives an empty text; broken
-markup is closed as it ends; scripts, styles, titles and form controls never give text; repeated rows
+markup is closed as it ends, a head
+without an end tag by the first tag or text that can't be in one; scripts, styles, titles and form controls never give text; repeated rows
 are extracted each; an empty table gives an empty result. Only ``page_id``, ``url`` and ``html`` are read.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import escape
@@ -46,6 +48,10 @@ SILENT = set("script style noscript template head title iframe object svg math b
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+#: Start tags that stay in the head; any other, and text, end it, as its end tag may be left out.
+IN_HEAD = set("base basefont bgsound link meta title noscript noframes style script template head".split())
+#: Silent elements that hold no blocks: on a page that leaves one open, a block ends it.
+SHORT_SILENT = "title button textarea select".split()
 #: What a start tag closes: open elements of these tags, up to the nearest of the scope.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -67,6 +73,7 @@ KINDS = list(LEXICON)
 NAMED = {w: k for k, words in enumerate(LEXICON.values()) for w in words.split()}
 _TOKEN = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
+_STARTS, _ENDS = (re.compile(rf"<{x}({'|'.join(SHORT_SILENT)})\b", re.I) for x in ("", "/"))
 
 
 @dataclass
@@ -78,6 +85,7 @@ class Node:
     index: int
     twins: int = 0
     children: list = field(default_factory=list)
+    tags: dict = field(default_factory=dict)
 
 
 class Page(HTMLParser):
@@ -87,6 +95,9 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("#page", -1, 0, (0,) * len(KINDS), 0)]
         self.open = [0]
+        self.opened: Counter = Counter()
+        starts, ends = (Counter(x.lower() for x in found.findall(html)) for found in (_STARTS, _ENDS))
+        self.unclosed = [t for t in SHORT_SILENT if starts[t] > ends[t]]
         self.silent = 0
         self.blocks: list[tuple[int, str]] = []  # (node, text) in page order
         self.links: list[int] = []
@@ -110,12 +121,16 @@ class Page(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self.end_block()
+            for name in self.unclosed:
+                self._close_to(name)
+        if tag not in IN_HEAD:
+            self._end_head()
+        if tag in BLOCKS:
             # a block ends an open paragraph
-            if any(self.nodes[i].tag == "p" for i in self.open):
-                self._close_to("p")
+            self._close_to("p")
         elif tag == "br":
             self.runs.append(" ")
-        if tag in CLOSES:
+        if tag in CLOSES and any(map(self.opened.__getitem__, CLOSES[tag][0])):
             ends, scope = CLOSES[tag]
             for depth in range(len(self.open) - 1, 0, -1):
                 name = self.nodes[self.open[depth]].tag
@@ -133,9 +148,11 @@ class Page(HTMLParser):
             if (k := NAMED.get(word.lower())) is not None:
                 named[k] += 1
         node = Node(tag, parent, up.depth + 1, tuple(named), len(up.children))
-        node.twins = sum(self.nodes[i].tag == tag for i in up.children[-20:])
+        node.twins = up.tags.get(tag, 0)
+        up.tags[tag] = node.twins + 1
         up.children.append(len(self.nodes))
         self.open.append(len(self.nodes))
+        self.opened[tag] += 1
         self.nodes.append(node)
         self.silent += tag in SILENT
 
@@ -146,10 +163,17 @@ class Page(HTMLParser):
 
     def _cut(self, depth: int) -> None:
         for i in self.open[depth:]:
+            self.opened[self.nodes[i].tag] -= 1
             self.silent -= self.nodes[i].tag in SILENT
         del self.open[depth:]
 
+    def _end_head(self) -> None:
+        if self.nodes[self.open[-1]].tag == "head":
+            self._close_to("head")
+
     def _close_to(self, tag: str) -> None:
+        if not self.opened[tag]:
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             if self.nodes[self.open[depth]].tag == tag:
                 self._cut(depth)
@@ -161,9 +185,11 @@ class Page(HTMLParser):
         self._close_to(tag)
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if not self.silent:
             self.runs.append(data)
-            if any(self.nodes[i].tag == "a" for i in self.open[-4:]):
+            if self.opened["a"]:
                 self.linked += len(data)
 
 
