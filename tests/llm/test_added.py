@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from timberline.llm import counts, html, rules, runs, search  # noqa: E402
+from timberline.llm import chat, counts, html, rules, runs, search  # noqa: E402
 from timberline.llm.queries import QUERIES, byte_tokenizer, piece_model, word_tokenizer  # noqa: E402
 
 from .test_operators import TEXTS, docs, empty, prose  # noqa: E402, F401
@@ -283,3 +283,34 @@ def test_deep_and_wide_pages_in_time():
     wide = html.Page("<p>x</p>" * 20_000)
     assert len(deep.blocks) == 1 and len(wide.blocks) == 20_000 and wide.nodes[-1].twins == 19_999
     assert time.process_time() - start < 20
+
+
+# ---------------------------------------------------------------- transcripts
+
+def test_a_plain_transcript_with_a_model_that_saw_few_systems(spark):
+    rng = random.Random(4)
+    turns = []
+    for c in range(60):
+        roles = ["system"] * (c % 20 == 0) + ["user", "assistant"] * rng.randint(1, 3)
+        for t, role in enumerate(roles):
+            text = prose(rng.randint(4, 9), rng).capitalize() + ("?" if role == "user" else ".")
+            turns.append((c, t, role, text if role != "assistant" else text + "\n" + prose(8, rng)))
+    model = chat.fit(chat.transcripts(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))
+    plain = ["User: what is 6 times 7?", "Assistant: here:", "it is 42", "nothing else of it"]
+    other = ["Human: is a: b a pair?", "AI: Answer: yes", "note this: a: b", "Human: thanks!"]
+    rows = [(1, i, x) for i, x in enumerate(plain)] + [(2, i, x) for i, x in enumerate(other)]
+    got = {}
+    for r in chat.parse(spark.createDataFrame(rows, "conv_id long, pos long, line string"), model).orderBy("turn_no").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got[1] == [("user", "what is 6 times 7?"), ("assistant", "here:\nit is 42\nnothing else of it")]
+    assert got[2] == [("user", "is a: b a pair?"), ("assistant", "Answer: yes\nnote this: a: b"), ("user", "thanks!")]
+    # a value that no line had says nothing for any role
+    assert not model.unseen.any() and all(np.isfinite(v).all() for v in model.emit.values())
+
+
+def test_a_marker_of_another_role_stays(spark):
+    lines = spark.createDataFrame([(1, 0, "Answer: forty-two")], "conv_id long, pos long, line string")
+    start = np.full(len(chat.STATES), -50.0)
+    start[chat.STATES.index(("user", True))] = 0.0
+    model = chat.Model(start, np.zeros((len(chat.STATES),) * 2), {}, np.zeros(len(chat.STATES)))
+    assert [(r.role, r.text) for r in chat.parse(lines, model).collect()] == [("user", "Answer: forty-two")]

@@ -15,12 +15,13 @@ is a transcript of its own; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from timberline.session import materialize
 
@@ -35,6 +36,8 @@ SPEAKERS = {
 _ROLE = {name: r for r, names in SPEAKERS.items() for name in names}
 _MARK = re.compile(
     r"^\s*(?:[#*>\[<|\s]*)(" + "|".join(sorted(_ROLE, key=len, reverse=True)) + r")(?:\s*[\]>|*]+\s*:?|\s*:)\s*", re.IGNORECASE)
+#: Lines' worth of the share among all lines in a state's share of a feature value.
+PRIOR = 1.0
 #: Positions of a block (256 turns), and the rows it is cut into where it has more.
 SPAN_BITS, BLOCK_ROWS = 28, 4096
 
@@ -61,9 +64,11 @@ class Model:
     start: np.ndarray
     step: np.ndarray
     emit: dict
+    #: what a value never met says of each state: as much of every one
     unseen: np.ndarray
 
     def emissions(self, lines: list[str]) -> np.ndarray:
+        """Log-odds of each state by each line's features."""
         out = np.zeros((len(lines), len(STATES)))
         for k, line in enumerate(lines):
             for o in observations(line):
@@ -71,9 +76,24 @@ class Model:
         return out
 
 
-@F.udf(ArrayType(StringType()))
-def _observed(line):
-    return list(observations(line or ""))
+def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of a batch of labelled lines, counted."""
+    for batch in batches:
+        lines = [line or "" for line in batch.column("line").to_pylist()]
+        found = Counter(
+            (role, starts, o) for role, starts, line in zip(batch.column("role").to_pylist(), batch.column("is_start").to_pylist(), lines)
+            for o in observations(line))
+        yield pa.RecordBatch.from_arrays([
+            pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.bool_()),
+            pa.array([k[2] for k in found], pa.string()), pa.array(list(found.values()), pa.int64()),
+        ], names=["role", "is_start", "o", "n"])
+
+
+def _marker_share(named: str, role: str, starts: bool) -> float:
+    """How many lines of a state name a role before anything is known of it: its own when a turn starts, else none."""
+    if starts:
+        return {role: 0.7, "": 0.28}.get(named, 0.01)
+    return 0.97 if not named else 0.01
 
 
 def fit(lines: DataFrame) -> Model:
@@ -84,7 +104,10 @@ def fit(lines: DataFrame) -> Model:
         "conv_id", "pos", "role", "is_start", "line",
         F.lag("role").over(w).alias("before"), F.lag("is_start").over(w).alias("before_start"))
     moves = rows.groupBy("before", "before_start", "role", "is_start").count().collect()  # at most 7 x 6 rows
-    seen = lines.select("role", "is_start", F.explode(_observed("line")).alias("o")).groupBy("role", "is_start", "o").count().collect()
+    seen = (
+        lines.select("role", "is_start", "line").mapInArrow(_observed, "role string, is_start boolean, o string, n long")
+        .groupBy("role", "is_start", "o").agg(F.sum("n").alias("n")).collect()  # at most 6 x 40 rows
+    )
     start, step = np.ones(len(STATES)), np.full((len(STATES), len(STATES)), 0.5)
     for r in moves:
         if (to := index.get((r.role, r.is_start))) is None:
@@ -94,12 +117,21 @@ def fit(lines: DataFrame) -> Model:
             start[to] += r["count"]
         else:
             step[at, to] += r["count"]
-    emit: dict[str, np.ndarray] = {}
-    totals = np.ones(len(STATES))
+    counts: dict[str, np.ndarray] = {}
     for r in seen:
         if (k := index.get((r.role, r.is_start))) is not None:
-            emit.setdefault(r.o, np.full(len(STATES), 0.5))[k] += r["count"]
-            totals[k] += r["count"] / 5
+            counts.setdefault(r.o, np.zeros(len(STATES)))[k] += r.n
+    # a state's share of a value leans towards the value's share among all lines, so that a rare state is
+    # not taken for what it was merely never seen with; markers lean towards the role they name
+    for role in ("", *ROLES):
+        counts.setdefault("m=" + role, np.zeros(len(STATES)))
+    totals = {kind: sum((v for o, v in counts.items() if o[0] == kind), np.zeros(len(STATES))) for kind in {o[0] for o in counts}}
+    emit = {}
+    for o, v in counts.items():
+        total = totals[o[0]]
+        share = (v.sum() + 0.5) / (total.sum() + 1)
+        lean = np.array([_marker_share(o[2:], *state) for state in STATES]) if o[0] == "m" else share
+        emit[o] = np.log((v + PRIOR * lean) / (total + PRIOR)) - np.log(share)
     # a turn opens with a start: a continuation cannot follow another role's line
     for a, (ra, _) in enumerate(STATES):
         for b, (rb, starts) in enumerate(STATES):
@@ -110,7 +142,7 @@ def fit(lines: DataFrame) -> Model:
             start[b] = 1e-9
     return Model(
         np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)),
-        {o: np.log(v / totals) for o, v in emit.items()}, np.log(0.5 / totals))
+        emit, np.zeros(len(STATES)))
 
 
 def transfer(model: Model, emissions: np.ndarray) -> np.ndarray:
@@ -202,7 +234,9 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
         for line, state in zip(lines, path):
             role, starts = STATES[state]
             if starts or not out:
-                body = marker(line)[1] if starts else line
+                # only a marker that names the role found is taken off
+                named, rest = marker(line)
+                body = rest if starts and named == role else line
                 out.append({"part": len(out), "role": role, "starts": starts, "text": body})
             else:
                 # a marker alone on its line is no part of the text
