@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from timberline.llm import chat, counts, html, rules, runs, search  # noqa: E402
+from timberline.llm import chat, counts, html, pieces, rules, runs, search  # noqa: E402
 from timberline.llm.queries import QUERIES, byte_tokenizer, piece_model, word_tokenizer  # noqa: E402
 
 from .test_operators import TEXTS, docs, empty, prose  # noqa: E402, F401
@@ -314,3 +314,28 @@ def test_a_marker_of_another_role_stays(spark):
     start[chat.STATES.index(("user", True))] = 0.0
     model = chat.Model(start, np.zeros((len(chat.STATES),) * 2), {}, np.zeros(len(chat.STATES)))
     assert [(r.role, r.text) for r in chat.parse(lines, model).collect()] == [("user", "Answer: forty-two")]
+
+
+# ---------------------------------------------------------------- pieces
+
+def test_pieces_of_shuffled_input_and_round_trip(spark):
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    rng = random.Random(8)
+    texts = [t for _, t in TEXTS] + ["日本語の文章です。" * 40, "ab" * 300, "don't, e.g. (this) — «that»!?", "a\tb  c\n\n d", "▁", "x" * 200 + "é" * 200]
+    texts += ["".join(rng.choice(["a", "e ", "th", ".", ",", "'s", "日", "😀", "1", "\n", "zz"]) for _ in range(rng.randint(0, 200))) for _ in range(80)]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, code int")
+    got = {r.doc_id: r for r in pieces.encode(frame.repartition(5), piece_model()).collect()}
+    again = {r.doc_id: r for r in pieces.summary(pieces.encode(frame.repartition(3), piece_model()), piece_model()).collect()}
+    back = {r.doc_id: r.text for r in pieces.decode(pieces.encode(frame, piece_model()), piece_model()).collect()}
+    for i, t in enumerate(texts):
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == model.encode(t or ""), t
+        assert again[i].n_ids == len(got[i].ids) // 4 and again[i].ids_crc32 == zlib.crc32(got[i].ids)
+        # the mark that stands for a space is the one character that does not come back
+        assert back[i] == (t or "").replace("▁", " ") and again[i].round_trip == ("▁" not in (t or ""))
+
+
+def test_parts_of_words():
+    pairs = pieces.crossed(piece_model())
+    assert "".join(pieces.word_parts("▁word,(x)", pairs)) == "▁word,(x)"
+    assert "▁word" in pieces.word_parts("▁word,日本", pairs)

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with a BPE piece model, on a relational lattice.
 
-A text becomes words (runs of the space mark and what follows, lines apart), and every distinct word of
-the corpus is encoded once: its substrings of bounded length are exploded and equi-joined to the
+A text becomes words (runs of the space mark and what follows, lines apart), cut between any two characters
+that no piece holds side by side: no merge can cross there. Every distinct part of the corpus is encoded once: its substrings of bounded length are exploded and equi-joined to the
 piece table (tens of thousands of rows, broadcast), the matches are grouped as edges of the word, and a
 Spark higher-order aggregate folds Viterbi over the positions. In a BPE model a path is valid if every
 two neighbouring pieces are: no merge across their border comes before the merges that made them. Such
@@ -9,18 +9,20 @@ a path is unique, so the best edge into each position is the one that fits the b
 and the result is that of the sentencepiece library. The limits of each piece (when its heads and tails
 are consumed inside it) are part of the piece table.
 
-Documents travel as codes over the words of their task; words meet their ids once per task, so the
-shuffles carry distinct words, not running text. Characters the model lacks become byte pieces.
+Documents are codes over the words of their task, written once and never shuffled; words meet their ids
+once per task, so the shuffles carry distinct words. Characters the model lacks become byte pieces.
 
-Defined results: a null or empty text has no ids; a word longer than ``LONG`` code points is folded in
-its task by the same rule in linear memory; repeated rows are encoded each; an empty table gives an
+Defined results: a null or empty text has no ids; a part longer than ``LONG`` code points (no word
+of the usual scripts, but a run of one character) is folded in its task by the same rule in linear memory; repeated rows are encoded each; an empty table gives an
 empty result. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,13 +32,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from timberline.session import discard, materialize, scratch_path
+
 from .words import slices, texts_of
 
 SPACE = "▁"
 #: Code points of a word folded in Spark.
 LONG = 64
-#: Input splits that share a dictionary of words.
-SPLITS = 3
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n")
 _NEVER = 1 << 30
 
@@ -134,35 +136,53 @@ def fold_long(word: str, table: dict) -> list[int]:
     return out[::-1]
 
 
-def _coded(texts: list[str], known: dict[str, int]) -> list[np.ndarray]:
-    out = []
-    for text in texts:
-        words = units(text)
-        for w in words:
-            if w not in known:
-                known[w] = len(known)
-        out.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-    return out
+@functools.cache
+def crossed(path: str) -> frozenset[str]:
+    """Pairs of characters that stand side by side in a piece. Between any other two no merge is possible."""
+    return frozenset(p[i:i + 2] for p, *_ in piece_table(path) for i in range(len(p) - 1))
+
+
+def word_parts(word: str, pairs: frozenset[str]) -> list[str]:
+    """A word cut where no piece can cross; the ids of the parts in order are those of the word."""
+    cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in pairs]
+    return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
+
+
+def _planes(codes: np.ndarray) -> bytes:
+    """Codes by byte, lowest bytes first: small codes leave planes of zeros, which compress to nothing."""
+    return codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, known, told = TaskContext.get().partitionId(), {}, 0
-    for batch in slices(batches, "text"):
-        _coded(texts_of(batch).to_pylist(), known)
-        new = list(known)[told:] if told else list(known)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([part] * len(new), pa.int32()), pa.array(range(told, len(known)), pa.int32()), pa.array(new, pa.string()),
-        ], names=["part", "code", "word"])
-        told = len(known)
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, known = TaskContext.get().partitionId(), {}
-    for batch in slices(batches, "text"):
-        codes = _coded(texts_of(batch).to_pylist(), known)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([part] * len(codes), pa.int32()), batch.column("doc_id"), pa.array([c.tobytes() for c in codes], pa.binary()),
-        ], names=["part", "doc_id", "codes"])
+_CODED = "part int, doc_id long, text_crc32 long, codes binary, code int, word string"
+
+
+def _code_part(path: str):
+    """Rows of documents, as codes over the parts of words met in the task, and rows of new parts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, pairs = TaskContext.get().partitionId(), crossed(path)
+        known: dict[str, tuple] = {}  # codes of a word
+        codes: dict[str, int] = {}
+        for batch in slices(batches, "text"):
+            told, out, crcs = len(codes), [], []
+            for text in texts_of(batch).to_pylist():
+                words = units(text)
+                for w in set(words) - known.keys():
+                    known[w] = tuple(codes.setdefault(x, len(codes)) for x in word_parts(w, pairs))
+                out.append(_planes(np.fromiter((c for w in words for c in known[w]), np.int32)))
+                crcs.append(zlib.crc32(text.encode()))
+            new = list(itertools.islice(codes, told, None))
+            n, m = batch.num_rows, len(new)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([part] * (n + m), pa.int32()), pa.concat_arrays([batch.column("doc_id"), pa.nulls(m, pa.int64())]),
+                pa.array(crcs + [None] * m, pa.int64()), pa.array(out + [None] * m, pa.binary()),
+                pa.array([None] * n + list(range(told, told + m)), pa.int32()), pa.array([None] * n + new, pa.string()),
+            ], names=[c.split()[0] for c in _CODED.split(", ")])
+
+    return run
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
@@ -260,52 +280,78 @@ def _joined(model: str):
         place[code] = np.arange(len(code))
         out = []
         for codes in docs.column("codes").to_pylist():
-            at = place[np.frombuffer(codes, np.int32)]
+            at = place[_from_planes(codes)]
             before = np.concatenate([[0], np.cumsum(length[at])])
             ids = flat[np.repeat(start[at] - before[:-1], length[at]) + np.arange(before[-1])]
             if (ids < 0).any():  # characters the model lacks, byte by byte
                 ids = np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else [zero + b for b in chr(-i).encode()])], np.int32)
             out.append(ids.astype("<u4").tobytes())
-        return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(out, pa.binary())})
+        return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(out, pa.binary()), "text_crc32": docs.column("text_crc32")})
 
     return run
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, ids) with ids as little-endian unsigned 32-bit integers."""
+    """(doc_id, ids, text_crc32) with ids as little-endian unsigned 32-bit integers.
+
+    Codes are made once, in a table bucketed by the task that made them: whatever order the input comes
+    in, documents and words agree, and the documents meet the ids of their words without a shuffle.
+    """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = rows.coalesce(max(1, rows.rdd.getNumPartitions() // SPLITS))
-    words = rows.mapInArrow(_vocabulary, "part int, code int, word string").groupBy("word").agg(
-        F.collect_list(F.struct("part", "code")).alias("places"))
+    name, path = f"coded_{uuid.uuid4().hex}", scratch_path(spark, "coded")
+    (
+        rows.mapInArrow(_code_part(model), _CODED).write.bucketBy(max(1, rows.rdd.getNumPartitions()), "part")
+        .option("path", path).option("compression", "zstd").saveAsTable(name)
+    )
+    coded = spark.table(name)
+    words = coded.filter("word is not null").groupBy("word").agg(F.collect_list(F.struct("part", "code")).alias("places"))
     found = encode_words(words, model).select(F.explode("places").alias("p"), "ids", "word").select("p.part", "p.code", "ids", "word")
-    coded = rows.mapInArrow(_documents, "part int, doc_id long, codes binary")
-    return coded.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_joined(model), "doc_id long, ids binary")
+    given = coded.filter("codes is not null").select("part", "doc_id", "text_crc32", "codes")
+    out = materialize(
+        given.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_joined(model), "doc_id long, ids binary, text_crc32 long"), "ids")
+    spark.sql(f"drop table {name}")
+    discard(spark, path)
+    return out
+
+
+def _plain_pieces(model: str) -> list[bytes]:
+    """The bytes each id stands for."""
+    import sentencepiece
 
+    m = sentencepiece.SentencePieceProcessor(model_file=model)
+    return [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) else m.id_to_piece(i).replace(SPACE, " ").encode()
+            for i in range(m.get_piece_size())]
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("ids").to_pylist()
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-        ], names=["doc_id", "n_ids", "ids_crc32"])
 
+def _text_bytes(ids: bytes, pieces: list[bytes]) -> bytes:
+    """Pieces joined, without the leading space."""
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:]
 
-def summary(encoded: DataFrame) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32)."""
-    return encoded.mapInArrow(_summary, "doc_id long, n_ids long, ids_crc32 long")
+
+def summary(encoded: DataFrame, model: str) -> DataFrame:
+    """(doc_id, n_ids, ids_crc32, round_trip): whether the ids decode to the text they were made of."""
+    pieces = _plain_pieces(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids").to_pylist()
+            same = [zlib.crc32(_text_bytes(x, pieces)) == c for x, c in zip(ids, batch.column("text_crc32").to_pylist())]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same, pa.bool_()),
+            ], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
+
+    return encoded.select("doc_id", "ids", "text_crc32").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids): pieces joined, bytes put together, the leading space taken off."""
-    import sentencepiece
-
-    m = sentencepiece.SentencePieceProcessor(model_file=model)
-    text = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) else m.id_to_piece(i).replace(SPACE, " ").encode()
-            for i in range(m.get_piece_size())]
+    pieces = _plain_pieces(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [b"".join(map(text.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace")[1:] for x in batch.column("ids").to_pylist()]
+            out = [_text_bytes(x, pieces).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return encoded.mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

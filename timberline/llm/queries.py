@@ -33,7 +33,7 @@ def piece_model() -> str:
 
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.summary(pieces.encode(table(spark, sf_dir, "documents"), piece_model()))
+    return pieces.summary(pieces.encode(table(spark, sf_dir, "documents"), piece_model()), piece_model())
 
 
 @query
