@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from timberline.llm import chat, counts, html, pieces, rules, runs, search  # noqa: E402
+from timberline.llm import chat, counts, html, omh, pieces, rules, runs, search  # noqa: E402
 from timberline.llm.queries import QUERIES, byte_tokenizer, piece_model, word_tokenizer  # noqa: E402
 
 from .test_operators import TEXTS, docs, empty, prose  # noqa: E402, F401
@@ -339,3 +339,22 @@ def test_parts_of_words():
     pairs = pieces.crossed(piece_model())
     assert "".join(pieces.word_parts("▁word,(x)", pairs)) == "▁word,(x)"
     assert "▁word" in pieces.word_parts("▁word,日本", pairs)
+
+
+# ---------------------------------------------------------------- near duplicates of rows that share an id
+
+def test_texts_of_one_id_are_compared_each(spark):
+    rng = random.Random(21)
+    x, y = prose(200, rng), prose(200, rng)
+    near = x.replace(x.split()[100], "changed", 1)
+    rows = [(1, x), (1, y), (2, near), (3, y), (None, x), (4, prose(200, rng)), (4, prose(200, rng))]
+    d = spark.createDataFrame([(i, t, "d", 1) for i, t in rows], "doc_id long, text string, digest string, node int")
+    got = {(r.doc_id, r.digest): r for r in omh.near_duplicates(d).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got[1, sha(x)].class_id == got[2, sha(near)].class_id == 2 and got[1, sha(x)].n_links == 1
+    assert got[1, sha(y)].class_id == got[3, sha(y)].class_id == 3
+    assert [got[4, sha(t)].kept for i, t in rows if i == 4] == [True, True]
+    left = omh.without_near_duplicates(d)
+    assert left.columns == d.columns
+    assert sorted(map(repr, left.select("doc_id", "text").collect())) == sorted(map(repr, spark.createDataFrame(
+        [(i, t) for i, t in rows if i not in (1,)], "doc_id long, text string").collect()))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from timberline.session import materialize
 
 from .components import components
+from .tables import fresh
 from .words import Words, mix, slices, texts_of, windows
 
 K = 5
@@ -91,8 +92,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(order_minhash(kmers).tolist() if len(kmers) else [])
                 counts.append(len(np.unique(kmers)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(counts, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "size", "keys"])
+            [batch.column("doc_id"), batch.column("digest"), pa.array(counts, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+            names=["doc_id", "digest", "size", "keys"])
 
 
 def _word_hashes(words: Words) -> np.ndarray:
@@ -113,14 +114,15 @@ def body(words: bytes) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, keys): distinct k-mers and sketch keys, written once; texts are read where they lie."""
-    rows = docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, size int, keys array<bigint>")
+    """(doc_id, digest, size, keys): distinct k-mers and sketch keys, written once; texts are read where they lie."""
+    rows = docs.select("doc_id", "digest", "text").mapInArrow(_sketch, "doc_id long, digest string, size int, keys array<bigint>")
     return materialize(rows, "sketches")
 
 
-def bodies(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, words) of the documents named in ``ids(doc_id)``, written once."""
-    chosen = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def bodies(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, words) of the texts named in ``nodes(doc_id, head, digest)``, written once."""
+    rows = docs.select(F.col("doc_id").alias("head"), "digest", "text").join(nodes.hint("merge"), ["head", "digest"])
+    chosen = rows.select("doc_id", "text").dropDuplicates(["doc_id"])
     return materialize(chosen.mapInArrow(_bodies, "doc_id long, words binary"), "words")
 
 
@@ -133,8 +135,9 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def banded_alignment(a: list, b: list, band: int) -> int:
     """Words matched by the best alignment of ``a`` and ``b`` within ``band`` of the diagonal.
 
-    One bit per word of ``a`` inside the band (bit-parallel longest common subsequence): time grows
-    with the words of ``b``, memory with the band.
+    One bit per word of ``a`` between the common ends (bit-parallel longest common subsequence): time
+    grows with the words of ``b`` times those of ``a`` over the bits of a machine word, memory with the
+    words of ``a`` for every distinct one.
     """
     lead = 0
     for x, y in zip(a, b):
@@ -298,8 +301,11 @@ def leader_pairs(rows: DataFrame, leaders: int = LEADERS) -> DataFrame:
         F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
 
 
-def near_links(sketches: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(labels(node, label), links(a, b)) over distinct texts; ``docs(doc_id, text)`` holds them at least."""
+def near_links(sketches: DataFrame, docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(labels(node, label), links(a, b)) over distinct texts, which ``sketches`` knows by a number as doc_id.
+
+    ``nodes(doc_id, head, digest)`` says which row of ``docs(doc_id, digest, text)`` a number stands for.
+    """
     entries = sketches.select("doc_id", "size", F.posexplode("keys").alias("sketch", "key"))
     entries = entries.withColumn("order", F.xxhash64("doc_id", F.col("sketch") % ORDERS))
     leaders = entries.groupBy("sketch", "key").agg(
@@ -311,7 +317,7 @@ def near_links(sketches: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFra
         members.filter((F.col("doc_id") != F.col("leader")) & _reach("size", "leader_size"))
         .select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct(), "pairs")
     # the words of documents that share a bucket, fetched in one pass
-    words = bodies(docs, members.select("doc_id").distinct())
+    words = bodies(docs, nodes.join(members.select("doc_id").distinct().hint("merge"), "doc_id"))
     links = verified(tried, words)
     labels = components(links)
     # documents apart from the largest class of a large bucket try more members of that class first
@@ -330,26 +336,37 @@ def near_links(sketches: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, class_size, n_links, kept) of every document.
+    """(doc_id, class_id, class_size, n_links, kept, digest) of every document; ``digest`` is its text's SHA-256.
 
     ``class_id`` is the largest doc_id of the class, the document that stays; ``n_links`` counts the
     verified links of the document's text to different texts.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    member = materialize(texts.select("doc_id", F.sha2("text", 256).alias("digest")).distinct(), "digests")
-    # one row per different text, by its largest id
+    texts = texts.withColumn("digest", F.sha2("text", 256))
+    member = materialize(texts.select("doc_id", "digest").distinct(), "digests")
+    # one row per different text, by its largest id, with a number: several texts may share an id
     heads = materialize(
-        member.groupBy("digest").agg(F.max("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")), "heads")
+        member.groupBy("digest").agg(F.max("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("node", F.monotonically_increasing_id()), "heads")
     named = texts.filter("doc_id is not null")
-    sketches = sketched(named).join(heads.select(F.col("head").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    labels, links = near_links(materialize(sketches.dropDuplicates(["doc_id"]), "sketches"), named)
-    degree = links.select(F.explode(F.array("a", "b")).alias("head")).groupBy("head").agg(F.count(F.lit(1)).alias("n_links"))
-    heads = heads.join(labels.select(F.col("node").alias("head"), "label").hint("merge"), "head", "left").join(
-        degree.hint("merge"), "head", "left")
+    nodes = heads.filter("head is not null").select(F.col("node").alias("doc_id"), "head", "digest")
+    sketches = sketched(named).withColumnRenamed("doc_id", "head").join(nodes.hint("merge"), ["head", "digest"])
+    sketches = sketches.select("doc_id", "size", "keys").dropDuplicates(["doc_id"])
+    labels, links = near_links(materialize(sketches, "sketches"), named, nodes)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    heads = heads.join(labels.hint("merge"), "node", "left").join(degree.hint("merge"), "node", "left")
     # a text without an id, or alone, is its own class
-    heads = heads.withColumn("class_key", F.coalesce(F.col("label").cast("string"), F.col("head").cast("string"), "digest"))
+    heads = heads.withColumn("class_key", F.coalesce(F.col("label").cast("string"), "digest"))
     classes = heads.groupBy("class_key").agg(F.max("head").alias("class_id"), F.sum("copies").alias("class_size"))
     heads = materialize(heads.join(classes.hint("merge"), "class_key").select(
         "digest", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), "heads")
     return member.join(heads.hint("merge"), "digest").select(
-        "doc_id", "class_id", "class_size", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+        "doc_id", "class_id", "class_size", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "digest")
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without the documents that a class has beside the one that stays."""
+    key, mark = fresh(docs, "__key"), fresh(docs, "__digest")
+    gone = near_duplicates(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias(key), F.col("digest").alias(mark))
+    rows = docs.withColumns({key: F.col("doc_id").cast("bigint"), mark: F.sha2(F.coalesce("text", F.lit("")), 256)})
+    return rows.join(gone.hint("merge"), [key, mark], "left_anti").select(*docs.columns)

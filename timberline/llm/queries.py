@@ -81,7 +81,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return omh.near_duplicates(table(spark, sf_dir, "documents"))
+    return omh.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
 
 
 @query
