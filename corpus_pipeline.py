@@ -6,11 +6,11 @@ next stage's documents. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from timberline.llm import exact, fm, omh, packing, rules
 from timberline.llm.queries import word_tokenizer
-from timberline.llm.tables import fresh, table
+from timberline.llm.tables import table
 from timberline.session import materialize
 
 
@@ -31,9 +31,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
-    key = fresh(docs, "__key")
-    gone = omh.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(key))
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone[key], "left_anti")
+    return omh.without_near_duplicates(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
