@@ -142,10 +142,7 @@ _BEFORE = "over (partition by ngram order by line_id rows between unbounded prec
 _EARLIER = "over (order by line_id rows between unbounded preceding and 1 preceding)"
 
 
-@query(
-    "nb_score_running",
-    f"""with {I.TOKENS}, {FIT}, {_TEST},
-    known as (select ngram, coalesce(sum(n) filter (label = 0), 0) b0, coalesce(sum(n) filter (label = 1), 0) b1 from ngram_counts group by ngram),
+RUNNING = f"""known as (select ngram, coalesce(sum(n) filter (label = 0), 0) b0, coalesce(sum(n) filter (label = 1), 0) b1 from ngram_counts group by ngram),
     held as (select line_id, label, ngram, count(*) n from (select line_id, label, unnest(tokens) ngram from test) group by all),
     counted as (select h.line_id, h.label, h.n, coalesce(b0, 0) + coalesce(sum(case when label = 0 then n else 0 end) {_BEFORE}, 0) n0,
       coalesce(b1, 0) + coalesce(sum(case when label = 1 then n else 0 end) {_BEFORE}, 0) n1 from held h left join known using (ngram)),
@@ -164,8 +161,12 @@ _EARLIER = "over (order by line_id rows between unbounded preceding and 1 preced
       from counted join totals using (line_id) group by line_id),
     scored as (select t.line_id, t.label, coalesce(t0, 0) + ln(d0 / (d0 + d1)) score_0, coalesce(t1, 0) + ln(d1 / (d0 + d1)) score_1,
       case when score_0 = score_1 then first_label when score_1 > score_0 then 1 else 0 end prediction
-      from totals t left join sums using (line_id))
-    select {SCORE_COLS} from scored""",
+      from totals t left join sums using (line_id))"""
+
+
+@query(
+    "nb_score_running",
+    f"with {I.TOKENS}, {FIT}, {_TEST}, {RUNNING} select {SCORE_COLS} from scored",
 )
 def nb_score_running(spark, sf):
     lines = I.split_lines(spark, sf).select("line_id", "label", "split", tokenize_line("content").alias("tokens"))
@@ -232,10 +233,15 @@ _LINE_WORDS = f"""line_words as (select line_id, word, count(*) n from
 _TOPK = """top as (select line_id, array_to_string(list_sort(list(word)), ' ') words from (
   select line_id, word, row_number() over (partition by line_id order by seen desc, word) r from counted)
   where r <= 3 group by line_id)"""
-ONLINE_KEYS = f"""{_LINE_WORDS},
+def online_keys(head: str = "t.level || '-' || ") -> str:
+    """Group keys by the words counted so far, after the chosen header values."""
+    return f"""{_LINE_WORDS},
 counted as (select line_id, word, sum(n) over (partition by word order by line_id) seen from line_words),
 {_TOPK},
-keyed as (select t.*, t.level || '-' || coalesce(top.words, '') group_key from tokens t left join top using (line_id))"""
+keyed as (select t.*, {head}coalesce(top.words, '') group_key from tokens t left join top using (line_id))"""
+
+
+ONLINE_KEYS = online_keys()
 _FROZEN_KEYS = f"""{_LINE_WORDS},
 counted as (select line_id, word, sum(n) over (partition by word) seen from line_words),
 {_TOPK},

@@ -12,6 +12,7 @@ from timberline.plans import detector as D
 from timberline.session import materialize
 
 from . import inputs as I
+from .counts import FIT, ONLINE_KEYS, RUNNING, online_keys, sql_paths, sql_score
 from .registry import query
 from .text import SQL_PAIR, SQL_REGEX
 
@@ -153,7 +154,55 @@ def attach_templates(spark, sf):
 
 # ---------------------------------------------------------------- mined templates
 
-@query("mine_templates")
+# line by line: the n-th lines of all leaves meet the templates that the lines before them left. A row is a
+# template (kind 0), an assignment with the template of the moment (1) or the number of lines done (2)
+_REGEX_NOW, _PAIR_NOW = SQL_REGEX.format("t.toks"), SQL_PAIR.format(a="toks", b="seq")
+MINED = f"""placed as materialized (
+    select line_id, leaf, seq, row_number() over (partition by leaf order by line_id) n from (
+      select line_id, g || chr(10) || path leaf, list_concat(string_split(path, ' ')[2:], tokens[5:]) seq from p4 where len(tokens) > 0)),
+  mined(kind, id, leaf, template_id, toks) using key (kind, id) as (
+    select 2, 0::bigint, null::varchar, 0::bigint, null::varchar[]
+    union
+    select * from (
+      with now as (select p.* from placed p join mined c on c.kind = 2 and p.n = c.template_id + 1),
+      sims as (select l.line_id, l.leaf, l.seq, t.id tid, t.toks, case when regexp_matches(array_to_string(l.seq, ' '), {_REGEX_NOW}) then 1.0::double
+          else length(list_intersect(l.seq, t.toks))::double / length(list_distinct(list_concat(l.seq, t.toks))) end sim
+        from now l left join recurring.mined t on t.kind = 0 and t.leaf = l.leaf),
+      best as (select line_id, any_value(leaf) leaf, any_value(seq) seq, max(sim) sim, arg_max(tid, (sim, tid)) tid, arg_max(toks, (sim, tid)) toks
+        from sims group by line_id),
+      done as (select line_id, leaf, case when sim >= 0.5 then tid else line_id end tid, case when sim >= 0.5 then {_PAIR_NOW} else seq end toks from best)
+      select 0, tid, leaf, tid, toks from done
+      union all select 1, line_id, leaf, tid, toks from done
+      union all select 2, 0, null, c.template_id + 1, null from mined c where c.kind = 2 and exists (select 1 from now))),
+  assigned as (
+    select id line_id, template_id, toks from mined where kind = 1
+    union all select line_id, min(line_id) over (partition by g), [] from p4 where len(tokens) = 0)"""
+
+
+
+def _snapshots(lines: str, then: str) -> str:
+    """``then`` over ``tokens``: the lines chosen by ``lines``, each with its template of the moment as tokens."""
+    return f"""with {I.TOKENS}, chosen as ({lines}) select * from (
+    with recursive tokens as (select * from chosen), {online_keys('')}, {sql_paths(4, 2, 'group_key')}, {MINED},
+    shots as materialized (select t.line_id, t.label, t.split, a.toks from assigned a join tokens t using (line_id))
+    select * from (with tokens as (select line_id, label, split, toks tokens from shots), {then}))"""
+
+
+# the train lines, then the first test line of each template
+_JUDGED = """select * from tokens where split = 'train' union all select * exclude (r) from (
+  select *, row_number() over (partition by event_template order by line_id) r from tokens where split = 'test') where r = 1"""
+_TESTED = "test as (select line_id, label, tokens from tokens where split = 'test')"
+_VERDICTS = "select line_id, label, prediction, round(score_0, 5) score_0 from scored"
+
+@query(
+    "mine_templates",
+    f"""with recursive {I.TOKENS}, {ONLINE_KEYS}, {sql_paths(4, 2, 'group_key')}, {MINED},
+    sizes as (select template_id, count(*)::bigint size, arg_max(label, line_id) label from assigned join tokens using (line_id) group by template_id),
+    found as (select id template_id, split_part(leaf, chr(10), 1) group_key, toks from mined where kind = 0
+      union all select min(line_id), g, [] from p4 where len(tokens) = 0 group by g)
+    select template_id, group_key, array_to_string(toks, ' ') template, {SQL_REGEX.format('toks')} regex, size, label
+    from found join sizes using (template_id)""",
+)
 def mine_templates(spark, sf):
     mined = M.mine_templates(I.lines(spark, sf), heads=["level"])
     return mined.templates.select("template_id", "group_key", "template", "regex", "size", "label")
@@ -161,11 +210,13 @@ def mine_templates(spark, sf):
 
 @query(
     "mine_assignments",
-    f"with {I.LINES} select line_id, label from lines",
+    f"""with recursive {I.TOKENS}, {ONLINE_KEYS}, {sql_paths(4, 2, 'group_key')}, {MINED}
+    select line_id, label, template_id, array_to_string(toks, ' ') snapshot from assigned join tokens using (line_id)""",
 )
 def mine_assignments(spark, sf):
-    """Every line is assigned once."""
-    return M.mine_templates(I.lines(spark, sf), heads=["level"]).assignments.select("line_id", "label")
+    """Every line with its template and what that looked like when the line had joined it."""
+    mined = M.mine_templates(I.lines(spark, sf), heads=["level"])
+    return mined.assignments.select("line_id", "label", "template_id", F.array_join("snapshot", " ").alias("snapshot"))
 
 
 # claims settled in rounds: of those without an owner the ones whose first match is an owner, or that have none
@@ -226,7 +277,7 @@ def reinsert_templates(spark, sf):
     return found.select("template_id", "group_key", F.array_join("tokens", " ").alias("template"), "size")
 
 
-@query("fit_detector")
+@query("fit_detector", _snapshots("select * from tokens where split = 'train'", f"{FIT} select ngram, label, n from ngram_counts"))
 def fit_detector(spark, sf):
     detector, metrics = D.fit_detector(I.split_lines(spark, sf).filter("split = 'train'"))
     return detector.counts.ngram_counts
@@ -239,7 +290,7 @@ def apply_feedback(spark, sf):
     return D.apply_feedback(detector, verdicts).counts.class_counts.select("label", "n")
 
 
-@query("detect_lines")
+@query("detect_lines", _snapshots(_JUDGED, f"{FIT}, {_TESTED}, {sql_score('test')} {_VERDICTS}"))
 def detect_lines(spark, sf):
     lines = I.split_lines(spark, sf)
     detector, _ = D.fit_detector(lines.filter("split = 'train'"))
@@ -255,7 +306,7 @@ def detect_lines_frozen(spark, sf):
     return predictions.select("line_id", "label", "prediction", F.round("score_0", 5).alias("score_0"))
 
 
-@query("detect_lines_update")
+@query("detect_lines_update", _snapshots(_JUDGED, f"{FIT}, {_TESTED}, {RUNNING} {_VERDICTS}"))
 def detect_lines_update(spark, sf):
     lines = I.split_lines(spark, sf)
     detector, _ = D.fit_detector(lines.filter("split = 'train'"))

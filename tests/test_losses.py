@@ -56,6 +56,10 @@ def test_doubled_verdicts_do_not_double_windows(spark):
         [("q", "anomaly", "a"), ("q", "normal", "b")], "query string, prediction string, analysis string")
     got = {r.window_id: r.prediction for r in verdict_join(queries, verdicts).collect()}
     assert got == {1: "normal", 2: None}
+    timed = spark.createDataFrame(
+        [("q", "normal", "a", 1), ("q", "anomaly", "b", 3), ("q", "normal", "c", 2)], "query string, prediction string, analysis string, at int")
+    got = {r.window_id: r.prediction for r in verdict_join(queries, timed, order="at").collect()}
+    assert got == {1: "anomaly", 2: None}
 
 
 def test_half_written_counts_are_an_error(spark, tmp_path):

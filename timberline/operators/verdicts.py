@@ -41,13 +41,18 @@ def distinct_queries(windows: DataFrame, query: str = "query") -> DataFrame:
     return windows.groupBy(query).agg(F.count(F.lit(1)).alias("n_windows"))
 
 
-def verdict_join(queries: DataFrame, verdicts: DataFrame, query: str = "query") -> DataFrame:
+def verdict_join(
+    queries: DataFrame, verdicts: DataFrame, query: str = "query", order: str | None = None
+) -> DataFrame:
     """Queries with their cached verdict; null where none is known.
 
-    A query judged more than once has one verdict: a table has no last entry, so the greatest
-    (prediction, analysis) stands and no window is doubled.
+    A query judged more than once has one verdict, so no window is doubled: with ``order`` the
+    last one by that column, as a cache that is written over holds it. Without it a table has no
+    last entry, and the greatest (prediction, analysis) stands.
     """
-    one = verdicts.groupBy(query).agg(F.max(F.struct("prediction", "analysis")).alias("_v"))
+    verdict = F.struct("prediction", "analysis")
+    last = F.max_by(verdict, F.struct(order, verdict)) if order else F.max(verdict)
+    one = verdicts.groupBy(query).agg(last.alias("_v"))
     return queries.join(one.select(query, "_v.prediction", "_v.analysis"), query, "left")
 
 
