@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import operator
 import re
 import uuid
 import zlib
@@ -39,6 +40,8 @@ from .words import slices, texts_of
 SPACE = "▁"
 #: Code points of a word folded in Spark.
 LONG = 64
+#: Words whose edges are grouped in one task, some 100 MB: the sort below the grouping stays in memory.
+TASK_WORDS = 1 << 15
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n")
 _NEVER = 1 << 30
 
@@ -144,7 +147,7 @@ def crossed(path: str) -> frozenset[str]:
 
 def word_parts(word: str, pairs: frozenset[str]) -> list[str]:
     """A word cut where no piece can cross; the ids of the parts in order are those of the word."""
-    cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in pairs]
+    cuts = [i for i, pair in enumerate(map(operator.add, word, word[1:]), 1) if pair not in pairs]
     return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
 
 
@@ -170,7 +173,7 @@ def _code_part(path: str):
             told, out, crcs = len(codes), [], []
             for text in texts_of(batch).to_pylist():
                 words = units(text)
-                for w in set(words) - known.keys():
+                for w in [w for w in set(words) if w not in known]:
                     known[w] = tuple(codes.setdefault(x, len(codes)) for x in word_parts(w, pairs))
                 out.append(_planes(np.fromiter((c for w in words for c in known[w]), np.int32)))
                 crcs.append(zlib.crc32(text.encode()))
@@ -195,13 +198,14 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     short = n <= LONG
     spans = words.select("word", "places", n.alias("n"), F.explode(F.sequence(F.lit(0), F.when(short, n - 1).otherwise(0))).alias("s"))
     last = F.when(short, F.least(F.col("s") + longest, "n")).otherwise(1)
-    spans = spans.select("word", "places", "n", "s", F.explode(F.sequence(F.col("s") + 1, last)).alias("e"))
+    spans = spans.select("word", "places", "s", F.explode(F.sequence(F.col("s") + 1, last)).alias("e"))
     edges = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("e") - F.col("s"))).join(F.broadcast(pieces), "piece", "left")
-    # substrings that are no piece go before the grouping, but for one row that keeps the word
-    edges = edges.filter(F.col("id").isNotNull() | ((F.col("s") == 0) & (F.col("e") == 1)))
+    # substrings that are no piece go before the grouping, but for one row that keeps the word and its places
+    first = (F.col("s") == 0) & (F.col("e") == 1)
     kept = F.when(F.col("id").isNotNull(), F.struct("e", "s", "id", "rank", "tails", "heads"))
+    edges = edges.filter(F.col("id").isNotNull() | first).select("word", F.when(first, F.col("places")).alias("places"), kept.alias("edge"))
     return edges.groupBy("word").agg(
-        F.first("places").alias("places"), F.first("n").alias("n"), F.array_sort(F.collect_list(kept)).alias("edges"))
+        F.first("places", ignorenulls=True).alias("places"), F.array_sort(F.collect_list("edge")).alias("edges")).withColumn("n", n)
 
 
 def best_edges(edges: Column) -> Column:
@@ -305,7 +309,9 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         .option("path", path).option("compression", "zstd").saveAsTable(name)
     )
     coded = spark.table(name)
-    words = coded.filter("word is not null").groupBy("word").agg(F.collect_list(F.struct("part", "code")).alias("places"))
+    words = coded.filter("word is not null").select("word", "part", "code")
+    words = words.repartition(words.count() // TASK_WORDS + 1, "word").groupBy("word").agg(
+        F.collect_list(F.struct("part", "code")).alias("places"))
     found = encode_words(words, model).select(F.explode("places").alias("p"), "ids", "word").select("p.part", "p.code", "ids", "word")
     given = coded.filter("codes is not null").select("part", "doc_id", "text_crc32", "codes")
     out = materialize(
