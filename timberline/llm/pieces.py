@@ -25,7 +25,7 @@ import operator
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,8 @@ SPACE = "▁"
 LONG = 64
 #: Words whose edges are grouped in one task, some 100 MB: the sort below the grouping stays in memory.
 TASK_WORDS = 1 << 15
+#: Input bytes, by Spark's estimate, of one task's documents, which meet the ids of all their words in one task.
+PART_BYTES = 16 << 20
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n")
 _NEVER = 1 << 30
 
@@ -175,7 +177,7 @@ def _code_part(path: str):
                 words = units(text)
                 for w in [w for w in set(words) if w not in known]:
                     known[w] = tuple(codes.setdefault(x, len(codes)) for x in word_parts(w, pairs))
-                out.append(_planes(np.fromiter((c for w in words for c in known[w]), np.int32)))
+                out.append(_planes(np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, words)), np.int32)))
                 crcs.append(zlib.crc32(text.encode()))
             new = list(itertools.islice(codes, told, None))
             n, m = batch.num_rows, len(new)
@@ -295,17 +297,26 @@ def _joined(model: str):
     return run
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
+def _parts(rows: DataFrame) -> int:
+    """Tasks that share words: one for each core, or of ``PART_BYTES`` of input, as far as there are splits."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, min(rows.rdd.getNumPartitions(), max(rows.sparkSession.sparkContext.defaultParallelism, size // PART_BYTES)))
+
+
+def encode(docs: DataFrame, model: str, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, ids, text_crc32) with ids as little-endian unsigned 32-bit integers.
 
+    With ``finish``, what it makes of these rows is written instead of the ids.
+
     Codes are made once, in a table bucketed by the task that made them: whatever order the input comes
     in, documents and words agree, and the documents meet the ids of their words without a shuffle.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     name, path = f"coded_{uuid.uuid4().hex}", scratch_path(spark, "coded")
+    parts = _parts(rows)
     (
-        rows.mapInArrow(_code_part(model), _CODED).write.bucketBy(max(1, rows.rdd.getNumPartitions()), "part")
+        rows.coalesce(parts).mapInArrow(_code_part(model), _CODED).write.bucketBy(parts, "part")
         .option("path", path).option("compression", "zstd").saveAsTable(name)
     )
     coded = spark.table(name)
@@ -314,8 +325,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         F.collect_list(F.struct("part", "code")).alias("places"))
     found = encode_words(words, model).select(F.explode("places").alias("p"), "ids", "word").select("p.part", "p.code", "ids", "word")
     given = coded.filter("codes is not null").select("part", "doc_id", "text_crc32", "codes")
-    out = materialize(
-        given.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_joined(model), "doc_id long, ids binary, text_crc32 long"), "ids")
+    ids = given.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_joined(model), "doc_id long, ids binary, text_crc32 long")
+    out = materialize(finish(ids) if finish else ids, "ids")
     spark.sql(f"drop table {name}")
     discard(spark, path)
     return out

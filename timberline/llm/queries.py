@@ -33,7 +33,8 @@ def piece_model() -> str:
 
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.summary(pieces.encode(table(spark, sf_dir, "documents"), piece_model()), piece_model())
+    model = piece_model()
+    return pieces.encode(table(spark, sf_dir, "documents"), model, lambda encoded: pieces.summary(encoded, model))
 
 
 @query
