@@ -63,6 +63,34 @@ def test_mining_equals_ordered_pass(spark, seed, hot, chunk):
         assert r["label"] == rows[max(members) - 1][2] and r["size"] == len(members)
 
 
+def test_shared_words_hold_no_template_of_a_wide_leaf():
+    leaf = M._Leaf(0.5)
+    for i in range(50):
+        leaf.add(i, f"a b c u{i} v{i} x{i} y{i}")
+    assert len(leaf.ids) == 50
+    assert all(len(leaf.by_token.get(t, ())) < 3 for t in "abc")
+
+
+def test_each_round_tests_a_window(spark, monkeypatch):
+    tested, test = [], M._test_rest
+    monkeypatch.setattr(M, "_test_rest", lambda rest, *a: tested.append(rest.count()) or test(rest, *a))
+    rows = [(i, "g", [], [f"u{i}", f"v{i}"]) for i in range(1, 61)]
+    lines = spark.createDataFrame(rows, "line_id long, group_key string, path array<string>, tokens array<string>")
+    members, found = M.cluster_leaves(lines, depth=0, first_chunk=4)
+    assert sum(tested) < 20
+    assert sorted(r["template_id"] for r in found.collect()) == [r["line_id"] for r in members.orderBy("line_id").collect()]
+
+
+def test_lines_that_share_frequent_words_are_no_candidates(spark):
+    rows = [(i, 1, i, ["a", "b", "c", f"u{i}", f"v{i}", f"w{i}"]) for i in range(20)]
+    templates = spark.createDataFrame(rows, "template_id long, leaf long, created_seq long, tokens array<string>")
+    lines = templates.select((F.col("template_id") + 10).alias("line_id"), "leaf", F.transform(
+        "tokens", lambda t: F.concat(t, F.when(F.length(t) > 1, "x").otherwise(""))).alias("tokens"))
+    near = templates.select(F.col("template_id").alias("line_id"), "leaf", "tokens").unionByName(lines.filter("line_id > 20"))
+    pairs = M._candidate_pairs(near, templates, 0.5)
+    assert sorted(map(tuple, pairs.collect())) == [(i, i) for i in range(20)]
+
+
 def test_mining_goes_on_from_earlier_lines(spark):
     rows = random_lines(5, 260, 0.4)
     miner = Miner(3, 4, 2, 0.5, DEFAULT_STOP_WORDS)
