@@ -308,3 +308,17 @@ def test_feedback_lookup_equals_scan(spark):
                 if pattern(tokens).match(s):
                     want = (score, 2)
         assert got[tid] == want, tokens
+
+
+def test_feedback_words_carry_no_text(spark, monkeypatch):
+    from timberline.operators import verdicts as V
+
+    seen, write = {}, V.materialize
+    monkeypatch.setattr(V, "materialize", lambda df, name="step": seen.setdefault(name, write(df, name)))
+    text = " ".join(f"word{i}" for i in range(200))
+    out = feedback_lookup(
+        spark.createDataFrame([(1, ["word0", STAR, "word150", STAR])], "template_id long, tokens array<string>"),
+        spark.createDataFrame([(text, 0.5, 7), ("other " + text, 0.1, 8)], "template string, score double, seq long"))
+    assert [tuple(r) for r in out.collect()] == [(1, 0.5, 2)]
+    # the string that begins with another word is no candidate
+    assert seen["candidates"].columns == ["template_id", "_at"] and seen["candidates"].count() == 1
