@@ -322,3 +322,17 @@ def test_feedback_words_carry_no_text(spark, monkeypatch):
     assert [tuple(r) for r in out.collect()] == [(1, 0.5, 2)]
     # the string that begins with another word is no candidate
     assert seen["candidates"].columns == ["template_id", "_at"] and seen["candidates"].count() == 1
+
+
+def test_index_serves_many_matches(spark, monkeypatch):
+    schema = "template_id long, created_seq long, group_key string, path array<string>, tokens array<string>"
+    rows = [(i, i, "g", [], ["a", f"u{i}", STAR, f"w{i % 4}"]) for i in range(12)]
+    templates = spark.createDataFrame(rows, schema)
+    lines = templates.select((F.col("template_id") + 6).alias("line_id"), "group_key", "path", F.transform(
+        "tokens", lambda t: F.when(t == STAR, "x y").otherwise(t)).alias("tokens"))
+    plain = M.match_templates(lines, templates).collect()
+    index = M.index_templates(templates)
+    written, write = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, name="step": written.append(name) or write(df, name))
+    assert sorted(M.match_templates(lines, index).collect()) == sorted(plain) != []
+    assert "known_templates" not in written
