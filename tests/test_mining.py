@@ -336,3 +336,10 @@ def test_index_serves_many_matches(spark, monkeypatch):
     monkeypatch.setattr(M, "materialize", lambda df, name="step": written.append(name) or write(df, name))
     assert sorted(M.match_templates(lines, index).collect()) == sorted(plain) != []
     assert "known_templates" not in written
+
+
+def test_long_runs_of_wildcards_fit_the_stack(spark):
+    tokens = F.concat(F.array(F.lit("a")), F.array_repeat(F.lit(STAR), 40000), F.array(F.lit("b")))
+    row = spark.range(1).select(tokens.alias("tokens")).select(
+        template_pieces("tokens").alias("pieces"), template_to_regex("tokens").alias("regex")).first()
+    assert row["pieces"] == ["a ", "b"] and row["regex"].startswith("^a")
