@@ -81,6 +81,50 @@ def test_each_round_tests_a_window(spark, monkeypatch):
     assert sorted(r["template_id"] for r in found.collect()) == [r["line_id"] for r in members.orderBy("line_id").collect()]
 
 
+def test_a_leaf_its_lines_go_on_changing_is_one_round(spark, monkeypatch):
+    tested, test = [], M._test_rest
+    monkeypatch.setattr(M, "_test_rest", lambda rest, *a: tested.append(1) or test(rest, *a))
+    rows = [(i, "g", [], [f"u{i}", f"v{i}"]) for i in range(1, 301)]
+    lines = spark.createDataFrame(rows, "line_id long, group_key string, path array<string>, tokens array<string>")
+    members, found = M.cluster_leaves(lines, depth=0, first_chunk=4)
+    assert found.count() == members.count() == 300
+    assert not tested
+
+
+@pytest.mark.parametrize("st", [0.3, 0.5, 0.8])
+def test_wide_leaf_equals_every_template_compared(st):
+    rng = random.Random(int(st * 10))
+    words = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    kinds = [[rng.choices(words, weights)[0] for _ in range(rng.randint(0, 14))] for _ in range(60)]
+    leaf, known = M._Leaf(st, words[5:0:-1]), []
+    for i in range(700):
+        tokens = [t if rng.random() < 0.85 else rng.choice(words + [STAR]) for t in rng.choice(kinds)]
+        text, best = " ".join(tokens), (-1.0, -1)
+        for slot, (_, template) in enumerate(known):
+            both, either = set(template) & set(tokens), set(template) | set(tokens)
+            sim = 1.0 if pattern(template).match(text) else len(both) / len(either) if either else 0.0
+            best = max(best, (sim, slot))
+        if best[0] >= st:
+            want = best[1]
+            known[want] = known[want][0], merge(known[want][1], tokens)
+        else:
+            want = len(known)
+            known.append((i, tokens))
+        assert leaf.add(i, text) == want
+        assert list(leaf.tokens[want]) == known[want][1]
+
+
+def test_two_words_in_common_make_no_candidate():
+    rng = random.Random(3)
+    leaf = M._Leaf(0.5)
+    for i in range(400):
+        leaf.add(i, " ".join([f"p{rng.randint(0, 19)}", f"q{rng.randint(0, 19)}", *(f"u{i}{c}" for c in "abcdefgh")]))
+    again = [f"p{i}" for i in range(20)] + [f"u{i}a" for i in range(4)]
+    assert len(leaf.ids) == 400
+    assert sum(len(leaf._near(frozenset([p, q, *"rstuvwxy"]))) for p, q in zip(again, again[1:])) == 0
+
+
 def test_lines_that_share_frequent_words_are_no_candidates(spark):
     rows = [(i, 1, i, ["a", "b", "c", f"u{i}", f"v{i}", f"w{i}"]) for i in range(20)]
     templates = spark.createDataFrame(rows, "template_id long, leaf long, created_seq long, tokens array<string>")
