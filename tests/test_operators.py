@@ -12,6 +12,7 @@ from timberline.functions.patterns import HEX_WORD, MASK_PRESETS, jvm_pattern
 from timberline.functions.text import counted_tokens
 from timberline.operators import grouping as G
 from timberline.operators import positions as P
+from timberline.operators import retrieval as R
 from timberline.operators import windows as W
 from timberline.operators.bayes import nb_fit, nb_score, nb_score_running
 from timberline.operators.metrics import binary_metrics, session_rollup
@@ -294,3 +295,28 @@ def test_cells_of_sparse_ids_are_joined(spark):
     df = ids.withColumns({"key": F.col("i") / (1 << 21) % 3, "v": F.lit(1)})
     got = {(r["key"], r["i"]): r["s"] for r in P.running_count(df, ["key"], "i", "v", "s", starts=starts).collect()}
     assert got == {(k % 3, k << 21): k // 3 + 1 for k in range(1000)}
+
+
+def test_copies_of_blocks_grow_no_faster_than_those_of_queries():
+    for visits in (10_000, 1_000_000, 100_000_000):
+        chunk = R._chunk_rows(visits, 65_536, 12)
+        assert R.QUERY_CHUNK <= chunk <= 65_536
+        # copied rows of blocks, but for the few chunks that keep all cores busy
+        assert visits / chunk * 65_536 <= max(visits, 4 * 12 * 65_536)
+
+
+def test_single_precision_is_copied_as_such(spark, monkeypatch):
+    kinds = []
+    compare = R._compare
+    monkeypatch.setattr(R, "_compare", lambda q, *a: kinds.append(q.schema["embedding"].dataType.simpleString()) or compare(q, *a))
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(60, 5)).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    got = R.knn_join(v.withColumnRenamed("id", "query_id"), v, 2, block_rows=16).collect()
+    assert set(kinds) == {"array<float>"}
+    full = data.astype(np.float64)
+    for r in got:
+        dist = ((full - full[r["query_id"]]) ** 2).sum(1)
+        assert r["distance"] == pytest.approx(dist[r["candidate_id"]], abs=1e-12)
+        assert r["candidate_id"] in np.argsort(dist, kind="stable")[:2]

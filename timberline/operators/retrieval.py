@@ -14,7 +14,7 @@ from .positions import dense_position, id_cells
 
 # values (rows x dimension) of one candidate block, 32 MB as doubles
 BLOCK_VALUES = 1 << 22
-# queries compared with one block in one go
+# queries compared with one block in one go: the least, so that small tables use all cores, see _chunk_rows
 QUERY_CHUNK = 1024
 MAX_PIVOTS = 256
 
@@ -98,13 +98,23 @@ def _block_topk(k: int):
     return run
 
 
-def _compare(queries: DataFrame, blocks: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+def _chunk_rows(visits: int, block_rows: int, cores: int) -> int:
+    """Queries of a chunk: a few chunks for each core, and as many rows as a block once there is work for all.
+
+    A block is copied for each chunk and a query for each block, so with chunks much smaller than blocks
+    the copies of blocks outgrow those of queries.
+    """
+    return max(QUERY_CHUNK, min(block_rows, math.ceil(visits / (4 * cores))))
+
+
+def _compare(queries: DataFrame, blocks: DataFrame, visits: DataFrame, k: int, block_rows: int) -> DataFrame:
     """Distances of the visited (query, block) pairs, reduced to ``k`` per pair of chunks.
 
     A block wanted by many queries is copied once per chunk of them, so a group holds at most
-    one block and about ``QUERY_CHUNK`` queries.
+    one block and about as many queries.
     """
-    wanted = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).alias("chunks"))
+    chunk_rows = _chunk_rows(visits.count(), block_rows, queries.sparkSession.sparkContext.defaultParallelism)
+    wanted = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("chunks"))
     left = (
         visits.join(wanted, "block")
         .withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")))
@@ -141,17 +151,20 @@ def knn_join(
     the triangle inequality tell which other blocks can hold a nearer one, and only those are
     visited.  The pruning is exact: a block is skipped only if its bound exceeds that distance.
     """
+    # single precision is copied as such and compared in double
+    given = {df.schema[embedding].dataType.simpleString() for df in (queries, candidates)}
+    kind = "array<float>" if given == {"array<float>"} else "array<double>"
     cand = materialize(
         candidates.select(
             F.col(candidate_id).cast("long").alias("id"),
-            F.col(embedding).cast("array<double>").alias("embedding"),
+            F.col(embedding).cast(kind).alias("embedding"),
         ),
         "candidates",
     )
     qs = materialize(
         queries.select(
             F.col(query_id).cast("long").alias("query_id"),
-            F.col(embedding).cast("array<double>").alias("embedding"),
+            F.col(embedding).cast(kind).alias("embedding"),
         ),
         "queries",
     )
@@ -170,7 +183,7 @@ def knn_join(
 
     celled = materialize(
         cand.mapInPandas(
-            _nearest_pivot(pivots), "id long, embedding array<double>, cell int, radius double"
+            _nearest_pivot(pivots), f"id long, embedding {kind}, cell int, radius double"
         ),
         "celled",
     )
@@ -216,7 +229,7 @@ def knn_join(
         .select("query_id", "block"),
         "visits",
     )
-    first = materialize(topk_neighbours(_compare(qs, blocks, visited, k), k), "first")
+    first = materialize(topk_neighbours(_compare(qs, blocks, visited, k, rows), k), "first")
     kth = first.groupBy("query_id").agg(F.max("distance").alias("kth"), F.count(F.lit(1)).alias("got"))
 
     # second visit: every block that can hold a nearer candidate; whole cells fall out first
@@ -236,7 +249,7 @@ def knn_join(
         .select("query_id", "block")
         .join(visited, ["query_id", "block"], "left_anti")
     )
-    second = _compare(qs, blocks, materialize(open_blocks, "visits"), k)
+    second = _compare(qs, blocks, materialize(open_blocks, "visits"), k, rows)
     found = topk_neighbours(first.drop("rank").unionByName(second), k)
     farthest_first = Window.partitionBy("query_id").orderBy(F.desc("distance"), F.desc("candidate_id"))
     return found.withColumn("rank", F.row_number().over(farthest_first))
