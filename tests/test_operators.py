@@ -320,3 +320,13 @@ def test_single_precision_is_copied_as_such(spark, monkeypatch):
         dist = ((full - full[r["query_id"]]) ** 2).sum(1)
         assert r["distance"] == pytest.approx(dist[r["candidate_id"]], abs=1e-12)
         assert r["candidate_id"] in np.argsort(dist, kind="stable")[:2]
+
+
+def test_scores_gather_nothing_by_document_and_ngram(spark):
+    rows = [(i, i % 2, [f"w{i % 5}", f"only{i}", None] if i else []) for i in range(50)]
+    docs = spark.createDataFrame(rows, "line_id long, label int, tokens array<string>")
+    scored = nb_score(docs, nb_fit(docs))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("Aggregate [")[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert not [k for k in keys if "line_id" in k and "," in k]
+    assert scored.count() == 50
