@@ -218,3 +218,14 @@ def test_stream_first_with_watermark(spark, tmp_path):
     )
     q.awaitTermination()
     assert sorted(r["event_template"] for r in spark.table("firsts").collect()) == ["a", "b"]
+
+
+def test_files_of_a_stream_are_bounded(spark, monkeypatch):
+    from catalog import streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 30)
+    stream = streams._stream(spark, spark.range(200).coalesce(1))
+    seen = []
+    stream.writeStream.foreachBatch(lambda b, i: seen.append(b.count())).trigger(availableNow=True).start().awaitTermination()
+    assert sum(seen) == 200
+    assert max(seen) <= 4 * 30
