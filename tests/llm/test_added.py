@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -335,6 +336,21 @@ def test_pieces_of_shuffled_input_and_round_trip(spark):
         assert back[i] == (t or "").replace("▁", " ") and again[i].round_trip == ("▁" not in (t or ""))
 
 
+def test_encoded_documents_are_finished_slice_by_slice(spark):
+    frame = spark.createDataFrame([(i, " ".join(f"w{i + k % 7}" for k in range(9000))) for i in range(120)], "doc_id long, text string").coalesce(1)
+    run, columns = pieces.summing(piece_model())
+
+    def counted(batches):
+        for n, batch in enumerate(batches):
+            for done in run([batch]):
+                yield done.append_column("n", pa.array([n] * done.num_rows, pa.int64()))
+
+    got = pieces.encode(frame, piece_model(), (counted, columns + ", n long")).collect()
+    want = pieces.summary(pieces.encode(frame, piece_model()), piece_model()).collect()
+    assert sorted(r[:4] for r in got) == sorted(tuple(r) for r in want) and all(r.round_trip for r in got)
+    assert max(r.n for r in got) > 0
+
+
 def test_parts_of_words():
     pairs = pieces.crossed(piece_model())
     assert "".join(pieces.word_parts("▁word,(x)", pairs)) == "▁word,(x)"

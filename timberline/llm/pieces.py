@@ -10,7 +10,8 @@ and the result is that of the sentencepiece library. The limits of each piece (w
 are consumed inside it) are part of the piece table.
 
 Documents are codes over the words of their task, written once and never shuffled; words meet their ids
-once per task, so the shuffles carry distinct words. Characters the model lacks become byte pieces.
+once per task, so the shuffles carry distinct words. Ids are put together for a slice of documents at a
+time, and a summary of them is all that leaves the task. Characters the model lacks become byte pieces.
 
 Defined results: a null or empty text has no ids; a part longer than ``LONG`` code points (no word
 of the usual scripts, but a run of one character) is folded in its task by the same rule in linear memory; repeated rows are encoded each; an empty table gives an
@@ -44,7 +45,11 @@ LONG = 64
 TASK_WORDS = 1 << 15
 #: Input bytes, by Spark's estimate, of one task's documents, which meet the ids of all their words in one task.
 PART_BYTES = 16 << 20
-_UNITS = re.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n")
+#: What is done with batches of encoded rows in their task, and the columns it makes.
+Finish = tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]
+#: Text bytes of the documents coded at once, and bytes of codes of those whose ids are looked up at once.
+SLICE_TEXT, SLICE_CODES = 3 << 20, 1 << 20
+_UNITS = re.compile(f"{SPACE}+[^{SPACE}\\n]*|\\n[^{SPACE}\\n]*")
 _NEVER = 1 << 30
 
 
@@ -103,9 +108,21 @@ def byte_id(path: str) -> int:
     return sentencepiece.SentencePieceProcessor(model_file=path).piece_to_id("<0x00>")
 
 
-def units(text: str) -> list[str]:
-    """Words of a text as the model sees it: a leading space mark, spaces marked, lines apart."""
-    return _UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts as the model sees them, one text behind the other, and their number in each.
+
+    The model sees a leading space mark and spaces marked, so all words but those after a line break begin
+    with a mark; a run of spaces belongs to the word behind it. Words come without their first mark, or
+    with the line break before them.
+    """
+    odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.starts_with(texts, " "))
+    if pc.any(odd).as_py():
+        marked = [_UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts.to_pylist()]
+        words = [w[1:] if w[0] == SPACE else w for w in itertools.chain.from_iterable(marked)]
+        return pa.array(words, pa.large_string()), np.array(list(map(len, marked)), np.int64)
+    words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+    counts, some = pc.list_value_length(words).to_numpy(), pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
+    return words.flatten().filter(pa.array(np.repeat(some, counts))), counts * some
 
 
 def fold_long(word: str, table: dict) -> list[int]:
@@ -153,9 +170,53 @@ def word_parts(word: str, pairs: frozenset[str]) -> list[str]:
     return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
 
 
+class _Parts(dict):
+    """Codes of parts of words in the order they are met, four bytes each."""
+
+    def __missing__(self, part: str) -> bytes:
+        code = self[part] = len(self).to_bytes(4, "little")
+        return code
+
+
+class _Cuts:
+    """Words of ``units`` cut together as ``word_parts`` cuts each, line breaks apart.
+
+    Characters have classes, and a table says which of them stand side by side in a piece.
+    """
+
+    def __init__(self, pairs: frozenset[str]):
+        chars = sorted(set("".join(pairs)))
+        self.classes = np.zeros(0x110000, np.int32)
+        self.classes[list(map(ord, chars))] = np.arange(1, len(chars) + 1)
+        self.beside = np.zeros((len(chars) + 1,) * 2, bool)
+        for a, b in pairs:
+            self.beside[self.classes[ord(a)], self.classes[ord(b)]] = True
+
+    def parts(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """Parts of all words, one word's behind another's, and their number in each."""
+        full = [w if w[:1] == "\n" else SPACE + w for w in words]
+        joined = "".join(full)
+        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kinds, starts = self.classes[chars], np.cumsum([0, *map(len, full)])
+        cut = np.ones(len(chars) + 1, bool)
+        cut[1:-1] = ~self.beside[kinds[:-1], kinds[1:]] | (chars[:-1] == 10)
+        cut[starts] = True
+        edges = np.flatnonzero(cut)
+        places = edges.tolist()
+        return [joined[i:j] for i, j in zip(places, places[1:])], np.diff(np.searchsorted(edges, starts))
+
+
+def _gather(flat: np.ndarray, length: np.ndarray, at: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Lists ``at`` of those that lie in ``flat`` joined, and where each begins and the last ends."""
+    if start is None:
+        start = np.cumsum(length) - length
+    ends = np.concatenate([[0], np.cumsum(length[at])])
+    return flat[np.repeat(start[at] - ends[:-1], length[at]) + np.arange(ends[-1])], ends
+
+
 def _planes(codes: np.ndarray) -> bytes:
     """Codes by byte, lowest bytes first: small codes leave planes of zeros, which compress to nothing."""
-    return codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return codes.view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _from_planes(raw: bytes) -> np.ndarray:
@@ -168,18 +229,18 @@ _CODED = "part int, doc_id long, text_crc32 long, codes binary, code int, word s
 def _code_part(path: str):
     """Rows of documents, as codes over the parts of words met in the task, and rows of new parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, pairs = TaskContext.get().partitionId(), crossed(path)
-        known: dict[str, tuple] = {}  # codes of a word
-        codes: dict[str, int] = {}
-        for batch in slices(batches, "text"):
-            told, out, crcs = len(codes), [], []
-            for text in texts_of(batch).to_pylist():
-                words = units(text)
-                for w in [w for w in set(words) if w not in known]:
-                    known[w] = tuple(codes.setdefault(x, len(codes)) for x in word_parts(w, pairs))
-                out.append(_planes(np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, words)), np.int32)))
-                crcs.append(zlib.crc32(text.encode()))
-            new = list(itertools.islice(codes, told, None))
+        part, cuts, known = TaskContext.get().partitionId(), _Cuts(crossed(path)), _Parts()
+        for batch in slices(batches, "text", SLICE_TEXT):
+            told, texts = len(known), texts_of(batch)
+            words, counts = units(texts)
+            coded = words.dictionary_encode()
+            parts, length = cuts.parts(coded.dictionary.to_pylist())
+            flat = np.frombuffer(b"".join(map(known.__getitem__, parts)), "<i4")
+            codes, ends = _gather(flat, length, coded.indices.to_numpy())
+            ends = ends[np.cumsum(counts)].tolist()
+            out = [_planes(codes[a:b]) for a, b in zip([0, *ends], ends)]
+            crcs = list(map(zlib.crc32, texts.cast(pa.large_binary()).to_pylist()))
+            new = list(itertools.islice(known, told, None))
             n, m = batch.num_rows, len(new)
             yield pa.RecordBatch.from_arrays([
                 pa.array([part] * (n + m), pa.int32()), pa.concat_arrays([batch.column("doc_id"), pa.nulls(m, pa.int64())]),
@@ -267,7 +328,11 @@ def encode_words(words: DataFrame, model: str) -> DataFrame:
         F.when(~short, F.col("word")).alias("word"))
 
 
-def _joined(model: str):
+_IDS = "doc_id long, ids binary, text_crc32 long"
+
+
+def _joined(model: str, finish: Finish | None):
+    """Documents of a part meet the ids of its words; only what ``finish`` makes of a slice of them is kept."""
     zero = byte_id(model)
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
@@ -284,15 +349,30 @@ def _joined(model: str):
             flat = np.concatenate([flat, *(np.array(x, np.int32) for x in more)])
         place = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int64)
         place[code] = np.arange(len(code))
-        out = []
-        for codes in docs.column("codes").to_pylist():
-            at = place[_from_planes(codes)]
-            before = np.concatenate([[0], np.cumsum(length[at])])
-            ids = flat[np.repeat(start[at] - before[:-1], length[at]) + np.arange(before[-1])]
-            if (ids < 0).any():  # characters the model lacks, byte by byte
-                ids = np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else [zero + b for b in chr(-i).encode()])], np.int32)
-            out.append(ids.astype("<u4").tobytes())
-        return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(out, pa.binary()), "text_crc32": docs.column("text_crc32")})
+
+        lost = flat < 0  # characters the model lacks, byte by byte
+        if lost.any():
+            chars = [chr(-i).encode() for i in flat[lost].tolist()]
+            size = np.ones(len(flat), np.int64)
+            size[lost] = list(map(len, chars))
+            moved = np.concatenate([[0], np.cumsum(size)])
+            start, length = moved[start], moved[start + length] - moved[start]
+            flat = np.repeat(flat, size)
+            flat[flat < 0] = zero + np.frombuffer(b"".join(chars), np.uint8).astype(np.int32)
+
+        def ids_of(codes: list[bytes]) -> list[bytes]:
+            ids, ends = _gather(flat, length, place[np.concatenate(list(map(_from_planes, codes)))], start)
+            ends = (4 * ends[np.cumsum([len(c) // 4 for c in codes])]).tolist()
+            raw = ids.astype("<u4").tobytes()
+            return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+        encoded = (
+            pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(ids_of(b.column("codes").to_pylist()), pa.binary()), b.column("text_crc32")],
+                names=["doc_id", "ids", "text_crc32"])
+            for b in slices(docs.to_batches(), "codes", SLICE_CODES))
+        # words come from documents of their part, so there are some
+        return pa.Table.from_batches(finish[0](encoded) if finish else encoded)
 
     return run
 
@@ -303,10 +383,11 @@ def _parts(rows: DataFrame) -> int:
     return max(1, min(rows.rdd.getNumPartitions(), max(rows.sparkSession.sparkContext.defaultParallelism, size // PART_BYTES)))
 
 
-def encode(docs: DataFrame, model: str, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: str, finish: Finish | None = None) -> DataFrame:
     """(doc_id, ids, text_crc32) with ids as little-endian unsigned 32-bit integers.
 
-    With ``finish``, what it makes of these rows is written instead of the ids.
+    With ``finish``, what it makes of batches of these rows, and the columns of that, are written instead
+    of the ids, which then never leave their task nor lie in it all at once.
 
     Codes are made once, in a table bucketed by the task that made them: whatever order the input comes
     in, documents and words agree, and the documents meet the ids of their words without a shuffle.
@@ -325,41 +406,51 @@ def encode(docs: DataFrame, model: str, finish: Callable[[DataFrame], DataFrame]
         F.collect_list(F.struct("part", "code")).alias("places"))
     found = encode_words(words, model).select(F.explode("places").alias("p"), "ids", "word").select("p.part", "p.code", "ids", "word")
     given = coded.filter("codes is not null").select("part", "doc_id", "text_crc32", "codes")
-    ids = given.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_joined(model), "doc_id long, ids binary, text_crc32 long")
-    out = materialize(finish(ids) if finish else ids, "ids")
+    ids = given.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_joined(model, finish), finish[1] if finish else _IDS)
+    out = materialize(ids, "ids")
     spark.sql(f"drop table {name}")
     discard(spark, path)
     return out
 
 
-def _plain_pieces(model: str) -> list[bytes]:
+def _plain_pieces(model: str) -> pa.Array:
     """The bytes each id stands for."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=model)
-    return [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) else m.id_to_piece(i).replace(SPACE, " ").encode()
-            for i in range(m.get_piece_size())]
+    return pa.array([
+        bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) else m.id_to_piece(i).replace(SPACE, " ").encode()
+        for i in range(m.get_piece_size())], pa.large_binary())
 
 
-def _text_bytes(ids: bytes, pieces: list[bytes]) -> bytes:
-    """Pieces joined, without the leading space."""
-    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:]
+def _text_bytes(ids: list[bytes], pieces: pa.Array) -> Iterator[memoryview]:
+    """Texts: pieces joined, without the leading space."""
+    joined = pieces.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+    # the pieces of all texts lie behind one another
+    ends = np.frombuffer(joined.buffers()[1], np.int64)[np.cumsum([0, *(len(x) // 4 for x in ids)])].tolist()
+    data = memoryview(joined.buffers()[2] or b"")
+    return (data[a + 1:b] for a, b in zip(ends, ends[1:]))
 
 
-def summary(encoded: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, round_trip): whether the ids decode to the text they were made of."""
+def summing(model: str) -> Finish:
+    """(doc_id, n_ids, ids_crc32, round_trip) of encoded rows: whether the ids decode to the text they were made of."""
     pieces = _plain_pieces(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids").to_pylist()
-            same = [zlib.crc32(_text_bytes(x, pieces)) == c for x, c in zip(ids, batch.column("text_crc32").to_pylist())]
+            same = [zlib.crc32(t) == c for t, c in zip(_text_bytes(ids, pieces), batch.column("text_crc32").to_pylist())]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
                 pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same, pa.bool_()),
             ], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
-    return encoded.select("doc_id", "ids", "text_crc32").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    return run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean"
+
+
+def summary(encoded: DataFrame, model: str) -> DataFrame:
+    """(doc_id, n_ids, ids_crc32, round_trip) from (doc_id, ids, text_crc32)."""
+    return encoded.select("doc_id", "ids", "text_crc32").mapInArrow(*summing(model))
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -368,7 +459,8 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_text_bytes(x, pieces).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
+            for part in slices([batch], "ids"):
+                out = [str(t, "utf-8", "replace") for t in _text_bytes(part.column("ids").to_pylist(), pieces)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

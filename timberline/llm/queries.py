@@ -34,7 +34,7 @@ def piece_model() -> str:
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_model()
-    return pieces.encode(table(spark, sf_dir, "documents"), model, lambda encoded: pieces.summary(encoded, model))
+    return pieces.encode(table(spark, sf_dir, "documents"), model, pieces.summing(model))
 
 
 @query
