@@ -387,3 +387,15 @@ def test_long_runs_of_wildcards_fit_the_stack(spark):
     row = spark.range(1).select(tokens.alias("tokens")).select(
         template_pieces("tokens").alias("pieces"), template_to_regex("tokens").alias("regex")).first()
     assert row["pieces"] == ["a ", "b"] and row["regex"].startswith("^a")
+
+
+def test_mining_leaves_only_its_result_behind(spark):
+    from timberline.session import list_names, shared_dir
+
+    where = f"{shared_dir(spark)}/timberline"
+    before = set(list_names(spark, where))
+    rows = [(i, f"unit {i % 7} sent {'x' * (i % 5)} {i}", i % 2) for i in range(300)]
+    mined = M.mine_templates(spark.createDataFrame(rows, "line_id long, content string, label int"), first_chunk=20)
+    left = {n.rsplit("-", 1)[0] for n in set(list_names(spark, where)) - before}
+    assert left == {"members", "templates", "vocab", "branches"}
+    assert mined.assignments.count() == 300 and mined.templates.agg(F.sum("size")).head()[0] == 300
