@@ -382,6 +382,20 @@ def test_index_serves_many_matches(spark, monkeypatch):
     assert "known_templates" not in written
 
 
+def test_only_asked_leaves_are_indexed(spark, monkeypatch):
+    schema = "template_id long, created_seq long, group_key string, path array<string>, tokens array<string>"
+    rows = [(i, i, f"g{i % 3}", [], ["a", f"u{i // 3}", STAR, f"w{i % 4}"]) for i in range(30)]
+    templates = spark.createDataFrame(rows, schema)
+    lines = templates.filter("group_key = 'g1'").withColumnRenamed("template_id", "line_id").drop("created_seq")
+    plain = M.match_templates(lines, M.index_templates(templates)).collect()
+    written, write = {}, M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, name="step": written.setdefault(name, []).append(write(df, name)) or written[name][-1])
+    assert sorted(M.match_templates(lines, templates).collect()) == sorted(plain) and len(plain) == 10
+    assert written["known_templates"][0].count() == 10
+    # every token of every template is met once, for similar lines and for lines a pattern fits
+    assert len(written["ordered"]) == 1 and written["ordered"][0].count() == 10
+
+
 def test_long_runs_of_wildcards_fit_the_stack(spark):
     tokens = F.concat(F.array(F.lit("a")), F.array_repeat(F.lit(STAR), 40000), F.array(F.lit("b")))
     row = spark.range(1).select(tokens.alias("tokens")).select(
