@@ -2,7 +2,9 @@
 
 from timberline.operators import mining as M
 from timberline.operators import verdicts as V
-from timberline.session import list_names, passing, shared_dir
+from timberline.plans.detector import fit_detector
+from timberline.session import list_names, passing, scratch_path, shared_dir
+from timberline.streaming import jobs as J
 
 
 def scratch(spark):
@@ -64,3 +66,19 @@ def test_tokens_no_line_holds_are_not_ordered(spark, monkeypatch):
     monkeypatch.setattr(M, "materialize", lambda df, name="step": written.setdefault(name, write(df, name)))
     assert M.match_templates(lines, templates).collect() == []
     assert sorted(written["ordered"].first()["ordered"]) == ["a", "b"] and written["anchored"].isEmpty()
+
+
+def test_batches_of_a_stream_leave_no_scratch(spark):
+    rows = [(i, f"unit {i % 3} sent {'xyz'[i % 3]}", i % 2) for i in range(40)]
+    lines = spark.createDataFrame(rows, "line_id long, content string, label int")
+    detector, _ = fit_detector(lines)
+    source = scratch_path(spark, "source")
+    lines.repartition(2).write.parquet(source)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    before = scratch(spark)
+    sink, deltas = scratch_path(spark, "scores"), scratch_path(spark, "deltas")
+    J.stream_score(stream, detector.counts, sink, scratch_path(spark, "ck"), detector=detector).awaitTermination()
+    J.stream_update(stream, deltas, scratch_path(spark, "ck"), detector=detector).awaitTermination()
+    assert spark.read.parquet(sink).count() == 40
+    left = kinds(scratch(spark) - before)
+    assert left == {"scores", "deltas", "ck", "known_templates", "often", "waiting", "anchored", "loose", "ngrams"}
